@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, multiset_hash, simhash, token_cache
+from . import decontaminate, line_dedup, mixing, multiset_hash, simhash, token_cache
 from .common import table
 
 WIDTH = 10
@@ -30,6 +30,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("row_hash")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).withColumnRenamed("new_text", "text")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
+        "op7_mix": op7_mix,
+        "op8_line_dedup": op8_line_dedup,
         "op9_fingerprints": op9_fingerprints,
     }
 
