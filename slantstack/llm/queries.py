@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, multiset_hash, simhash, token_cache
+from . import decontaminate, language_id, license_scan, line_dedup, mixing, multiset_hash, simhash, token_cache
 from .common import table
 
 WIDTH = 10
@@ -18,10 +19,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 5 == 0
+    model = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs, model, columns={"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=WIDTH)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,7 +76,9 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_decontaminate": op2_decontaminate,
+        "op4_license_scan": op4_license_scan,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
         "op7_mix": op7_mix,
