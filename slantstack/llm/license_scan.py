@@ -5,7 +5,7 @@ joined to the templates' positions (a fixed list of a few hundred rows, broadcas
 caller's), and the words themselves are compared. A hit votes for its diagonal, word number less template position; votes
 are counted per (text, template, diagonal). Base phrases stand where a diagonal has all votes. Other templates merge
 diagonals that lie within ``GAP`` words of each other (words were inserted or left out), and a span is verified if the
-positions it covers make up ``min_cover`` of the template's.
+positions it covers make up ``min_cover`` of the template's (all of a short template's).
 
 Only hits are shuffled, by (id, digest of the text), so copies of a text spread over their ids.
 
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import GAP_CLASS, source_key
 
-GAP, MAX_POSITIONS = 6, 100_000
+#: Templates of fewer pairs of words must be covered whole: variants of one notice differ in a word.
+GAP, MAX_POSITIONS, SHORT = 6, 100_000, 12
 
 #: Phrases and labels of the base.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -77,7 +78,7 @@ def scan(docs: DataFrame, *, min_cover: float = 0.6, id_col: str = "doc_id", tex
     apart = F.coalesce((F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(by) > GAP)).cast("int"), F.lit(1))
     spans = votes.withColumn("apart", apart).withColumn("span", F.sum("apart").over(by))
     merged = spans.groupBy(*key, "span").agg(F.min("diagonal").alias("start"), (F.size(F.array_distinct(F.flatten(F.collect_list("met")))) / F.col("size")).alias("cover"))
-    good = merged.where(F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(min_cover))
+    good = merged.where(F.col("cover") >= F.when(F.col("base") | (F.col("size") < SHORT), 1.0).otherwise(min_cover))
     of_base = lambda v: F.when(F.col("base"), v)
     found = good.groupBy("doc_id", "key").agg(F.count(of_base(F.lit(1))).alias("n_base"), F.min(of_base(F.col("start"))).alias("first_word"), F.max(of_base(F.col("start"))).alias("last_word"), F.collect_set(of_base(F.col("label"))).alias("base_labels"), F.collect_set("label").alias("labels"), F.max("cover").alias("score"))
     joined = rows.select("doc_id", "key", n.cast("long").alias("n_words")).alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.key") == F.col("f.key")), "left")
