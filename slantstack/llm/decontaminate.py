@@ -154,3 +154,23 @@ def report(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     found = scan(docs, items, **kw)
     counted = found.mapInArrow(_covered, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>")
     return counted.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _flagger(shared, key: str, text_at: int):
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = _automaton(key, shared.value)
+        for b in batches:
+            clean = [hits(t or b"", a)[1] is None for t in b.column(text_at).cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return flag
+
+
+def without_hits(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("text",), width: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text no pattern stands. Nothing is shuffled."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    for block in patterns(items, item_id, list(item_texts), width, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        rows = rows.mapInArrow(_flagger(shared, hashlib.sha256(repr(block).encode()).hexdigest(), docs.columns.index(text_col)), rows.schema)
+    return rows.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, mixing, multiset_hash, simhash, token_cache
+from . import decontaminate, language_id, license_scan, line_dedup, mixing, multiset_hash, pseudo_likelihood, simhash, token_cache, url_filter
 from .common import table
 
 WIDTH = 10
@@ -30,6 +30,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=WIDTH)
 
 
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,20 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: Action, host, path prefix.
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP2 = f"""
@@ -78,12 +97,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_decontaminate": op2_decontaminate,
+        "op3_pseudo_likelihood": op3_pseudo_likelihood,
         "op4_license_scan": op4_license_scan,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
         "op7_mix": op7_mix,
         "op8_line_dedup": op8_line_dedup,
         "op9_fingerprints": op9_fingerprints,
+        "op10_url_filter": op10_url_filter,
+        "pipeline": pipeline,
     }
 
 
