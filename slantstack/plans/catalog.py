@@ -628,13 +628,13 @@ def _(st):
     return _inverted(st)[1].select("y", "x", R(c("vel"), 4).alias("vel"), R(c("const"), 4).alias("const"), R(c("resid_rms"), 4).alias("resid_rms"))
 
 
-@query("la04_invert_chain", f"SELECT a.y, a.x, CAST(a.t - 1 AS INT) AS k, {r('a.d - b.d', 3)} AS inc FROM cum a JOIN cum b ON b.y = a.y AND b.x = a.x AND b.t = a.t - 1")
+@query("la04_invert_chain", f"SELECT a.y, a.x, CAST(a.t - 1 AS INT) AS k, {r('a.d - b.d', 5)} AS inc FROM cum a JOIN cum b ON b.y = a.y AND b.x = a.x AND b.t = a.t - 1")
 def _(st):
     chain = st.pairs.where("j = i + 1").select(c("i").alias("p"), "i", "j")
     steps = st.cum.select("y", "x", c("t").alias("j"), "d").join(F.broadcast(chain), "j").join(st.cum.select("y", "x", c("t").alias("i"), c("d").alias("d0")), ["y", "x", "i"])
     packed = closure.pack(steps.select("y", "x", "p", ((c("d") - c("d0")) / COEF).alias("ph"), F.lit(None).cast("double").alias("coh")), chain.count())
     inv = invert.invert(packed, chain, _years(st), coef=COEF, gamma=1e-6)
-    return inv.select("y", "x", F.posexplode("inc").alias("k", "inc")).select("y", "x", "k", R(c("inc"), 3).alias("inc"))
+    return inv.select("y", "x", F.posexplode("inc").alias("k", "inc")).select("y", "x", "k", R(c("inc"), 5).alias("inc"))
 
 
 @query("la05_invert_weighted", None)
