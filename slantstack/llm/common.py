@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,29 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that only a few texts at a time are Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of ``counts`` (durable; column n) whose n reaches a level that at most ``most`` rows reach.
+
+    The level comes from a histogram of 64 steps a doubling, so the driver never gets more than ``most`` rows, whereas a
+    sorted limit sends it that many from every partition.
+    """
+    step = F.floor(F.log2("n") * 64).cast("int")
+    level = None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        most -= r["count"]
+        if most < 0:
+            break
+        level = r["step"]
+    return counts.where(step >= level) if level is not None else counts.limit(0)
+
+
 def spare(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, spare
+from .common import durable, sliced, spare
 
 MARGIN, MOST_LINES = 4, 16
 #: What ends a line.
@@ -62,7 +62,7 @@ def chunks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         ids, rks, hs, idx = [], [], [], []
         for doc_id, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
             if not text:
@@ -81,26 +81,26 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in sliced(batches):
         packed = [None if t is None else z.compress(t) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(packed, pa.binary())], names=[*b.schema.names[:-1], "packed"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """packed, places (chunk, h) -> h, body, left and right (line hashes beside it, nearest first)."""
+    """doc_id, rk, packed, places (chunk, h) -> h, the place, body, left and right (line hashes beside it, nearest first)."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        out = []
-        for packed, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+    for b in sliced(batches):
+        kinds, out = (pa.int64(), b.column(0).type, pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), []
+        for doc_id, rk, packed, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             parts = lines(unpack(packed))
             hashes = line_hashes(parts)
             begins, _ = chunks(hashes)
             stops = np.append(begins[1:], len(parts))
             for p in places:
                 x, y = begins[p["chunk"]], stops[p["chunk"]]
-                out.append((p["h"], _body(parts[x:y]), hashes[max(0, x - MARGIN) : x][::-1].tobytes(), hashes[y : y + MARGIN].tobytes()))
+                out.append((p["h"], doc_id, rk, p["chunk"], _body(parts[x:y]), hashes[max(0, x - MARGIN) : x][::-1].tobytes(), hashes[y : y + MARGIN].tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["h", "body", "left", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "first_id", "first_rk", "first_chunk", "body", "left", "right"])
 
 
 def _body(parts: list[bytes]) -> bytes:
@@ -136,7 +136,7 @@ def removed_lines(parts: list[bytes], matches: list[dict], min_words: int) -> np
 def _rebuild(min_words: int):
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in sliced(batches):
             texts, counts, cut = [], [], []
             for packed, matches in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 text = None if packed is None else unpack(packed)
@@ -166,10 +166,12 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 25, id_col: str = "doc_id",
     packed = lambda *more: docs.select(F.col(id_col).alias("doc_id"), rk, *more, F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, _schema(docs, id_col, more) + "packed binary")
     listed = first.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("chunk", "h")).alias("places")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("hash"))
-    bodies = durable(packed().join(listed, same).select("packed", "places").mapInArrow(_fetch, "h long, body binary, left binary, right binary"), "bodies")
-    f = first.select(F.col("h").alias("fh"), F.struct(F.col("doc_id"), F.col("rk"), F.col("chunk")).alias("f"))
-    again = places.join(f, F.col("h") == F.col("fh")).where(~F.struct("doc_id", "rk", "chunk").eqNullSafe(F.col("f"))).select("h", "doc_id", "rk", "chunk")
-    found = again.join(bodies, "h").groupBy("doc_id", "rk").agg(F.collect_list(F.struct("chunk", "body", "left", "right")).alias("matches")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
+    fetched = packed().join(listed, same).select("doc_id", "rk", "packed", "places").mapInArrow(_fetch, f"h long, first_id {kind}, first_rk long, first_chunk int, body binary, left binary, right binary")
+    bodies = durable(fetched, "bodies")
+    # One row a chunk on the right: rows of a hot chunk can be split.
+    here = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk")) & (F.col("chunk") == F.col("first_chunk"))
+    again = places.join(bodies, "h").where(~here)
+    found = again.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("chunk", "body", "left", "right")).alias("matches")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
     names = [f"o{i}" for i in range(len(others))]
     joined = packed(*(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True))).join(found, same, "left").select("doc_id", *names, "packed", "matches")
     fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(others, names, strict=True))
