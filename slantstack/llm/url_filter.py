@@ -1,10 +1,10 @@
 """URL filters: hosts are cut into words by unigram Viterbi, and multinomial naive Bayes scores host and path tokens.
 
-Unigrams: words of all pages' visible text and of their urls, counted over the whole table; the ``LEXICON`` most frequent
-are broadcast, with ``SEEDS`` added. A name is cut where the product of its words' frequencies is largest; unknown words
+Unigrams: words of all pages' visible text and of their urls, counted over the whole table; those as frequent as
+the first ``LEXICON`` are broadcast, with ``SEEDS`` added. A name is cut where the product of its words' frequencies is largest; unknown words
 cost more the longer they are. Naive Bayes: no verdicts are given, so pages are labelled by a rule to learn from: block
-where the cut host holds a seed word, allow elsewhere; the tokens of all pages are counted by label, and the ``TOKENS``
-most frequent broadcast. A page is blocked if its posterior is 0.5 or more.
+where the cut host holds a seed word, allow elsewhere; the tokens of all pages are counted by label, and those as
+frequent as the first ``TOKENS`` broadcast. A page is blocked if its posterior is 0.5 or more.
 
 Domain rules (host, path prefix) come first: a rule fits its host and subdomains where the path starts with the rule's,
 and the longest fitting one decides.
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable, frequent
+
 LEXICON, TOKENS, LONGEST = 50_000, 100_000, 24
 #: Words that mark pages to learn from; with a count in the lexicon as if seen so often.
 SEEDS, SEED_COUNT = ("adult", "bet", "bets", "betting", "casino", "cheap", "escort", "gambling", "loans", "lottery", "pills", "poker", "porn", "replica", "sex", "viagra", "xxx"), 1000
@@ -33,7 +35,7 @@ _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 def parts(url):
     """host and path columns."""
-    at = F.locate("://", url) if isinstance(url, str) else F.instr(url, "://")
+    at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url)))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), *_AZ)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -86,7 +88,7 @@ def lexicon(pages: DataFrame, url_col: str, html_col: str | None) -> dict[str, i
     if html_col:
         texts.append(F.translate(F.regexp_replace(F.col(html_col), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " "), *_AZ))
     words = pages.select(F.explode(F.split(F.concat_ws(" ", *texts), r"[^a-z\x80-\x{10ffff}]+")).alias("w")).where(F.length("w").between(1, LONGEST))
-    counts = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(LEXICON).collect()}
+    counts = {r["w"]: r["n"] for r in frequent(durable(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words"), LEXICON).collect()}
     return counts | {w: counts.get(w, 0) + SEED_COUNT for w in SEEDS}
 
 
@@ -108,7 +110,7 @@ def train(pages: DataFrame, *, url_col: str = "url", html_col: str | None = "htm
     labelled = pages.select(host, path).mapInArrow(_labeller(sc.broadcast(counts)), "bad boolean, tokens array<string>")
     token = F.explode(F.concat("tokens", F.array(F.lit("")))).alias("token")  # "" counts the pages
     by = labelled.select("bad", token).groupBy("token").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
-    rows = by.orderBy(F.desc(F.col("token") == ""), F.desc(F.col("good") + F.col("bad")), "token").limit(TOKENS).collect()
+    rows = frequent(durable(by.withColumn("n", F.col("good") + F.col("bad")), "tokens"), TOKENS).collect()
     table = {r["token"]: (r["good"], r["bad"]) for r in rows}
     return counts, list(table.pop("", (0, 0))), table
 
