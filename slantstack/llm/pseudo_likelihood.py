@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES
+from .common import LOWER_BYTES, durable, frequent, sliced
 
 CLASSES, MEMBERS, RARE, HIDDEN, SIDE = 32, 32, 64, 16, 2
 TOKENS, PAD = CLASSES * MEMBERS, CLASSES * MEMBERS
@@ -44,7 +44,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out():
         return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    for b in batches:
+    for b in sliced(batches):
         for text in b.column(0).cast(pa.binary()).to_pylist():
             seen.update(words(text))
             if len(seen) > FLUSH:
@@ -56,7 +56,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(docs: DataFrame, text_col: str = "text") -> dict[bytes, int]:
     """Tokens of the most frequent words of all documents, by count, then word."""
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(TOKENS - RARE).collect()
+    top = sorted(frequent(durable(counts, "words"), TOKENS - RARE).collect(), key=lambda r: (-r["n"], r["word"]))
     return {r["word"].encode(): i for i, r in enumerate(top)}
 
 
@@ -143,7 +143,7 @@ def _trainer(shared):
             held.clear()
             return len(target)
 
-        for b in batches:
+        for b in sliced(batches):
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 ids = tokens(text, vocab)
                 at = np.arange(zlib.crc32(text or b"") % STRIDE, len(ids), STRIDE)
@@ -175,7 +175,7 @@ def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, flat = shared.value
         p = unpack(flat)
-        for b in batches:
+        for b in sliced(batches):
             ids = [tokens(t, vocab) for t in b.column(1).cast(pa.binary()).to_pylist()]
             sums, held, owner, size = np.zeros(len(ids)), [], [], 0
 
