@@ -15,6 +15,10 @@ within two bits, so each is linked to the least one of the point. Both ways are
 
 Only distinct fingerprints are linked, so exact copies are never expanded into pairs.
 
+``keep_one`` also links texts with ``similarity`` of their five-word shingles in common: besides the whole text's
+fingerprint, the fingerprints of its sections are looked up, and what they meet is compared by a sketch of its shingles
+(exact up to ``SKETCH`` distinct shingles, beyond that within a few hundredths).
+
 Defined results. Null, empty and blank texts: fingerprint 0, linked like any other. Fewer words than a shingle: one
 shingle of all words. Repeated rows and equal ids: a result each. A component whose ids are all null has a null
 component_id. Empty table: empty result. Other columns are kept by ``keep_one`` and ignored elsewhere.
@@ -30,12 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, durable, source_key, spare
+from .common import LOWER_BYTES, durable, sliced, source_key, spare
 
 HALF = 32
 #: At most this many distinct fingerprints of a key are paired; larger ones are linked through shared points.
 CROWD = 16
 _SLICE = 65_536
+#: Mean shingles of a section, the sections of a text that are looked up, hashes of a text that are compared.
+SECTION, SECTIONS, SKETCH = 24, 8, 256
 
 
 def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
@@ -52,9 +58,15 @@ def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
 
 
 def fingerprint(text: bytes, k: int) -> int:
-    """Signed, as Spark's long holds it."""
+    return majority(shingle_hashes(text, k))
+
+
+def majority(slices) -> int:
+    """Bits that are set in more than half of the hashes; signed, as Spark's long holds it."""
     n, ones = 0, np.zeros(64, np.int64)
-    for h in shingle_hashes(text, k):
+    for h in slices:
+        if not len(h):
+            continue
         bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
         n += len(h)
@@ -63,18 +75,17 @@ def fingerprint(text: bytes, k: int) -> int:
 
 def _printer(k: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(t or b"", k) for t in texts], pa.int64())], names=[*b.schema.names[:-1], "fp"])
 
     return prints
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """doc_id (with ``digests`` also key, a digest of the text) and fp of every row."""
-    more = [source_key(text_col).alias("key")] if digests else []
-    read = docs.select(F.col(id_col).alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(_printer(shingle), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, {'key string, ' * digests}fp long")
+def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp of every row."""
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return read.mapInArrow(_printer(shingle), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _segment(fp, s: int):
@@ -130,33 +141,112 @@ def components(pairs: DataFrame) -> DataFrame:
         edges = durable(small.where("u > v").distinct(), "edges")
 
 
-def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fp, n, doc_id: the least), and (fp, root) of linked fingerprints."""
-    own = durable(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")), "own")
-    return own, components(close_pairs(own.select("fp"))).withColumnRenamed("node", "fp")
-
-
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, **cols) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = durable(fingerprints(docs, shingle=shingle, **cols), "prints")
-    own, roots = _classes(prints)
+    own = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "own")
+    roots = components(close_pairs(own.select("fp"))).withColumnRenamed("node", "fp")
     tied = durable(own.join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root")), "tied")
     least = durable(tied.groupBy("root").agg(F.min("doc_id").alias("component_id")), "component")
     of = durable(tied.join(least, "root").select("fp", "component_id"), "of")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the least id (then digest) stays."""
-    prints = durable(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col, digests=True), "prints")
-    own, roots = _classes(prints)
-    # nulls last, then by digest; n counts rows that are equal in both
+
+
+def sections(h: np.ndarray) -> list[int]:
+    """Signed fingerprints of the sections of a text, given its shingles' hashes in order: the ``SECTIONS`` smallest.
+
+    A section ends at every shingle whose hash is a multiple of ``SECTION``, so sections between two edits are equal.
+    """
+    if not len(h):
+        return []
+    begins = np.concatenate(([0], np.flatnonzero(h[:-1] % np.uint64(SECTION) == 0) + 1))
+    size = np.diff(np.append(begins, len(h)))
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+    return np.unique(np.packbits(2 * ones > size[:, None], axis=1).view(">i8").astype(np.int64))[:SECTIONS].tolist()
+
+
+def sketch(distinct: np.ndarray) -> bytes:
+    """The ``SKETCH`` least upper halves of a set of hashes (sorted): all of them for most texts."""
+    return np.unique(distinct >> np.uint64(32)).astype(np.uint32)[:SKETCH].tobytes()
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sketched sets: exact if both are whole, else over the least ``SKETCH`` of their union."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    union = np.union1d(x, y)
+    if max(len(x), len(y)) == SKETCH:
+        union = union[:SKETCH]
+    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+
+
+def _profiler(k: int):
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 128):
+            fps, counts, parts, sketches = [], [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                h = np.concatenate([*shingle_hashes(t or b"", k), np.zeros(0, np.uint64)])
+                distinct = np.unique(h)
+                fps.append(majority([distinct]))
+                counts.append(len(distinct))
+                parts.append(sections(h))
+                sketches.append(sketch(distinct))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(counts, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "key", "fp", "n", "sections", "sketch"])
+
+    return profile
+
+
+def _verifier(similarity: float):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            yield b.select(["a", "b"]).filter(pa.array([resemblance(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_()))
+
+    return verify
+
+
+def similar_pairs(profiles: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """a, b: fingerprints (column fp, distinct) of texts that share a section and are verified as similar.
+
+    Sections are looked up in their table as they are. Holders of a section with nearly as many shingles (a factor of
+    ``similarity`` is less than two steps) are each compared with the least fingerprint among them: a row a holder, however
+    common the section. Texts above the similarity share several of their sections.
+    """
+    step = F.when(F.col("n") > 0, F.floor(F.log("n") / F.log(F.lit(1 / similarity))).cast("int")).otherwise(-1)
+    held = profiles.select("fp", F.explode("sections").alias("section"), step.alias("step")).select("fp", "section", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
+    least = durable(held.groupBy("section", "step").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("section", "step", "a"), "sections")
+    pairs = durable(held.join(least, ["section", "step"]).where("a < fp").select("a", F.col("fp").alias("b")).distinct(), "candidates")
+    one = lambda c: profiles.select(F.col("fp").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c))
+    near = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+    both = durable(pairs.join(one("b"), "b"), "half").join(one("a"), "a").where(near).select("a", "b", "sa", "sb")
+    return both.mapInArrow(_verifier(similarity), "a long, b long")
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the least id (then digest) stays.
+
+    Linked are texts whose fingerprints (of distinct shingles) are within two bits, and texts that share a section's
+    fingerprint and have ``similarity`` of their shingles in common: a few edited words change ten bits and more of a
+    whole text's fingerprint at that similarity, but leave most sections as they were.
+    """
+    read = docs.select(F.col(id_col).alias("doc_id"), source_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    prints = durable(read.mapInArrow(_profiler(shingle), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, fp long, n long, sections array<long>, sketch binary"), "prints")
+    # nulls last, then by digest; n_rows counts rows that are equal in both
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    best = prints.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.min_by(F.struct("doc_id", "key", "n"), rank).alias("best"))
-    tied = durable(best.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "best.*"), "tied")
-    kept = durable(tied.groupBy("root").agg(F.min_by(F.struct("doc_id", "key", "n"), rank).alias("best")).select("best.*"), "kept")
+    best = durable(prints.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n_rows")).groupBy("fp").agg(F.min_by(F.struct("doc_id", "key", "n_rows"), rank).alias("best")).select("fp", "best.*"), "best")
+    named = best.select(F.col("fp").alias("f"), F.col("doc_id").alias("i"), F.col("key").alias("k"))
+    of_best = prints.join(named, (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi")
+    profiles = durable(of_best.select("fp", "n", "sections", "sketch"), "profiles")
+    links = durable(close_pairs(best.select("fp")), "links").unionAll(durable(similar_pairs(profiles, similarity), "similar"))
+    roots = components(links).withColumnRenamed("node", "fp")
+    tied = durable(best.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "key", "n_rows"), "tied")
+    kept = durable(tied.groupBy("root").agg(F.min_by(F.struct("doc_id", "key", "n_rows"), rank).alias("best")).select("best.*"), "kept")
     key, many = spare(docs, "key"), spare(docs, "n_equal")
-    mark = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), F.col("n").alias(many))
+    mark = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), F.col("n_rows").alias(many))
     rows = docs.withColumn(key, source_key(text_col)).alias("d").join(mark, F.col(f"d.{id_col}").eqNullSafe(F.col("kept_id")) & (F.col(f"d.{key}") == F.col("kept_key")))
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
     return rows.where(F.col(many) == 1).select(columns).unionAll(rows.where(F.col(many) > 1).select(columns).dropDuplicates([id_col, text_col]))
