@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, source_key
+from .common import WORD_BYTES, sliced, source_key
 
 BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -98,7 +98,7 @@ def _scanner(shared, key: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         a = _automaton(key, block)
-        for b in batches:
+        for b in sliced(batches):
             counts, spans, ids = [], [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 n, hit, found = hits(text or b"", a)
@@ -137,7 +137,7 @@ def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of words in the (possibly overlapping) spans."""
-    for b in batches:
+    for b in sliced(batches):
         out = []
         for text, spans in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
             n, end = 0, 0
@@ -159,7 +159,7 @@ def report(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
 def _flagger(shared, key: str, text_at: int):
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _automaton(key, shared.value)
-        for b in batches:
+        for b in sliced(batches):
             clean = [hits(t or b"", a)[1] is None for t in b.column(text_at).cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 BUCKETS, SLICE, PENALTY, ROUNDS, SMOOTH = 1 << 15, 1 << 20, 3.0, 12, 0.05
 UNKNOWN = "und"
 
@@ -62,7 +64,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["lang", "bucket", "n"])
 
-    for b in batches:
+    for b in sliced(batches):
         by: dict[str, list[str]] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).append(text)
@@ -132,7 +134,7 @@ def infer(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _predictor(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for begin, count, codes in _codes(texts) if langs else ():

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 WIDTH, MAX_RANGES = 128, 4096
 
 
@@ -78,7 +80,7 @@ def _compare(id_type: pa.DataType):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row before: range, id, text, fingerprint
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for part, extra, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if extra and (held is None or held[0] != part):

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir
+from .common import durable, shared_dir, sliced
 
 CACHED = "digest binary, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -60,7 +60,7 @@ def counter(path: str):
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for b in batches:
+        for b in sliced(batches):
             digests, texts, once = b.column(0).to_pylist(), b.column(1).to_pylist(), {}
             for d, t in zip(digests, texts, strict=True):
                 once.setdefault(d, t)
