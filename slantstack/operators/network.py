@@ -13,6 +13,11 @@ from slantstack.functions import scalar as S
 PAIR = r"(?:^|/)(2\d{7}_2\d{7})/?$"
 
 
+def local(df: DataFrame) -> DataFrame:
+    """A network table (a row an epoch, pair or loop) computed once and kept in the plan."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def pairs_from_paths(paths: DataFrame, col: str = "path") -> DataFrame:
     """Sorted distinct pair names from directory paths: 17 characters, both halves beginning with 2."""
     name = F.regexp_extract(F.col(col), PAIR, 1)

@@ -492,14 +492,14 @@ def _(st):
 
 def _net(st):
     n = st.pairs.count()
-    loops = network.triangles(st.pairs)
+    loops = network.local(network.triangles(st.pairs))
     packed = closure.pack(st.obs, n)
     return loops, packed, closure.without_cycles(closure.loop_phase(packed, loops))
 
 
 @query("joi03_loop_phase", PHI + f" SELECT y, x, l, {r('phi')} AS phi FROM phases")
 def _(st):
-    loops = network.triangles(st.pairs)
+    loops = network.local(network.triangles(st.pairs))
     return closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops).select("y", "x", "l", R(c("phi"), 6).alias("phi"))
 
 
@@ -511,7 +511,7 @@ def _(st):
 
 @query("agg06_loop_rms_multi_prime", PHI + f" SELECT l, {r('sqrt(avg(pow(phi - med, 2)))')} AS rms FROM phases JOIN med USING (l) GROUP BY l")
 def _(st):
-    loops = network.triangles(st.pairs)
+    loops = network.local(network.triangles(st.pairs))
     ph = closure.without_cycles(closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops), multi_prime=True)
     return ph.groupBy("l").agg(R(F.sqrt(F.avg(c("phi") * c("phi"))), 6).alias("rms"))
 
@@ -556,7 +556,7 @@ def _(st):
 
 @query("agg09_referenced_rms", PHI + REFP + f" SELECT l, {r('rms')} AS rms FROM loops LEFT JOIN (SELECT l, sqrt(avg(pow(phi - base, 2))) AS rms FROM phases JOIN base USING (l) GROUP BY l) USING (l)")
 def _(st):
-    loops = network.triangles(st.pairs)
+    loops = network.local(network.triangles(st.pairs))
     ph = closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops)
     return closure.referenced_loop_rms(ph, closure.reference_phase(st.obs, REF), loops).select("l", R(c("rms"), 6).alias("rms"))
 
@@ -567,14 +567,14 @@ PHASES = PHI[: PHI.index(", med AS")]
 
 @query("qc06_bad_after_reference", PHASES + REFP + RATED3 + f" SELECT DISTINCT p FROM {LP} WHERE rms >= 0.8 AND p NOT IN (SELECT p FROM {LP} WHERE rms < 0.8)")
 def _(st):
-    loops = network.triangles(st.pairs)
+    loops = network.local(network.triangles(st.pairs))
     ph = closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops)
     return closure.bad_pairs(closure.referenced_loop_rms(ph, closure.reference_phase(st.obs, REF), loops), 0.8)
 
 
 @query("agg08_loop_errors", PHI + REFP + " SELECT y, x, count(*) FILTER (abs(phi - base) > pi()) AS n_loop_err FROM phases JOIN base USING (l) GROUP BY y, x")
 def _(st):
-    loops = network.triangles(st.pairs)
+    loops = network.local(network.triangles(st.pairs))
     ph = closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops)
     return closure.loop_errors(ph, closure.reference_phase(st.obs, REF), loops)
 

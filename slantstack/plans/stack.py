@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slantstack.model import Grid
+from slantstack.operators import network, series
 
 #: mm per radian of the synthetic sensor.
 COEF = -4.4138
@@ -39,10 +40,10 @@ class Stack:
 
     @cached_property
     def epochs(self) -> DataFrame:
-        """t, q, yr: a handful of rows."""
+        """t, q, yr: a row an acquisition, read once and kept as a local table."""
         w = Window.orderBy("q")
         q = self.table("lineitem").select(F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("q")).distinct()
-        return q.select((F.row_number().over(w) - 1).alias("t"), "q", (F.date_diff("q", F.min("q").over(w)) / F.lit(365.25)).alias("yr"))
+        return network.local(q.select((F.row_number().over(w) - 1).alias("t"), "q", (F.date_diff("q", F.min("q").over(w)) / F.lit(365.25)).alias("yr")))
 
     @cached_property
     def cum(self) -> DataFrame:
@@ -57,7 +58,7 @@ class Stack:
         """p, i, j: epochs at most ``REACH`` apart, numbered in order."""
         a, b = self.epochs.select(F.col("t").alias("i")), self.epochs.select(F.col("t").alias("j"))
         near = a.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("i") + REACH))).join(F.broadcast(b), "j").select("i", "j")
-        return near.select((F.row_number().over(Window.orderBy("i", "j")) - 1).alias("p"), "i", "j")
+        return network.local(near.select((F.row_number().over(Window.orderBy("i", "j")) - 1).alias("p"), "i", "j"))
 
     @cached_property
     def pair_names(self) -> DataFrame:
@@ -69,9 +70,10 @@ class Stack:
     @cached_property
     def obs(self) -> DataFrame:
         """y, x, p, i, j, ph, coh: every pair at every pixel, NULL where there is no data."""
-        c, p = self.cum.select("y", "x", "t", "d"), F.broadcast(self.pairs)
-        first = c.withColumnRenamed("t", "i").withColumnRenamed("d", "di").join(p, "i")
-        both = first.join(c.withColumnRenamed("t", "j").withColumnRenamed("d", "dj"), ["y", "x", "j"])
+        # A pixel's series is one array, so a pair is two look-ups: one scan, no join.
+        packed = series.pack_series(self.cum.select("y", "x", "t", "d"), self.epochs.count())
+        listed = F.explode(F.array(*[F.struct(F.lit(r["p"]).alias("p"), F.lit(r["i"]).alias("i"), F.lit(r["j"]).alias("j")) for r in self.pairs.collect()])).alias("k")
+        both = packed.select("y", "x", "d", listed).select("y", "x", "k.p", "k.i", "k.j", F.get("d", F.col("k.i")).alias("di"), F.get("d", F.col("k.j")).alias("dj")).where("di is not null and dj is not null")
         ok = "(7*x + 13*y + 31*i + 17*j) % 23 <> 0 AND NOT ((x + 2*y) % 7 = 0 AND i <= 9 AND j > 9)"
         jump = "CASE WHEN (x + 3*y + 5*i + 7*j) % 7 = 0 AND (i + 2*j) % 13 = 0 THEN 6.283185307179586D ELSE 0D END"
         noise = "0.01D * ((x*x + 3*y*y + 5*i*x + 7*j*y) % 17 - 8)"
