@@ -31,7 +31,7 @@ def loop_phase(packed: DataFrame, loops: DataFrame) -> DataFrame:
     rows = loops.select("l", "p12", "p23", "p13").collect()  # network metadata
     if not rows:
         return packed.select("y", "x", F.lit(0).alias("l"), F.lit(0.0).alias("phi")).limit(0)
-    tri = F.explode(F.array(*[F.struct(F.lit(r["l"]).alias("l"), F.lit(r["p12"]).alias("p12"), F.lit(r["p23"]).alias("p23"), F.lit(r["p13"]).alias("p13")) for r in rows])).alias("k")
+    tri = F.explode(network.constant(rows, ("l", "p12", "p23", "p13"))).alias("k")
     phi = F.get("ph", F.col("k.p12")) + F.get("ph", F.col("k.p23")) - F.get("ph", F.col("k.p13"))
     return packed.select("y", "x", "ph", tri).select("y", "x", F.col("k.l").alias("l"), phi.alias("phi")).where("phi is not null")
 
@@ -118,7 +118,7 @@ def loop_flags(first: DataFrame, third: DataFrame, bad1: DataFrame, noref: DataF
 def no_loop_counts(packed: DataFrame, loops: DataFrame) -> DataFrame:
     """y, x, n_noloop: pairs with data that are in no loop with all three."""
     rows = loops.select("p12", "p23", "p13").collect()
-    tri = F.array(*[F.array(*[F.lit(v) for v in r]) for r in rows]) if rows else F.expr("cast(array() as array<array<int>>)")
+    tri = F.expr("array(" + ", ".join(f"array({r[0]}, {r[1]}, {r[2]})" for r in rows) + ")" if rows else "cast(array() as array<array<int>>)")
     whole = F.filter(tri, lambda k: F.forall(k, lambda p: F.get("ph", p).isNotNull()))
     return packed.select("y", "x", (F.size(F.filter("ph", lambda v: v.isNotNull())) - F.size(F.array_distinct(F.flatten(whole)))).alias("n_noloop"))
 
@@ -126,7 +126,7 @@ def no_loop_counts(packed: DataFrame, loops: DataFrame) -> DataFrame:
 def gap_flags(packed: DataFrame, pairs: DataFrame, n_epochs: int) -> DataFrame:
     """y, x, gap: for each increment 1 where no pair with data spans it."""
     rows = pairs.orderBy("p").select("i", "j").collect()
-    spans = F.array(*[F.struct(F.lit(r["i"]).alias("i"), F.lit(r["j"]).alias("j")) for r in rows])
+    spans = network.constant(rows, ("i", "j"))
     zero = F.array_repeat(F.lit(1), n_epochs - 1)
 
     def bridge(flags, s):

@@ -18,6 +18,11 @@ def local(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def constant(rows, fields: tuple[str, ...]):
+    """Array of structs of integers as one constant: network metadata that goes along with every pixel row."""
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{f}', {int(r[f])}" for f in fields) + ")" for r in rows) + ")")
+
+
 def pairs_from_paths(paths: DataFrame, col: str = "path") -> DataFrame:
     """Sorted distinct pair names from directory paths: 17 characters, both halves beginning with 2."""
     name = F.regexp_extract(F.col(col), PAIR, 1)

@@ -270,9 +270,9 @@ def _all():
     return Window.orderBy("q").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-@query("prj07_nearest_pixel", "SELECT pid, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN x END AS x FROM (SELECT *, y BETWEEN 0 AND 9 AND x BETWEEN 0 AND 9 AS ok FROM (SELECT pid, CAST(round_even((lat - 41.0) / -0.01, 0) AS INT) AS y, CAST(round_even((lon - 14.0) / 0.01, 0) AS INT) AS x FROM points))")
+@query("prj07_nearest_pixel", "SELECT pid, CAST(CASE WHEN ok THEN y END AS DOUBLE) AS y, CAST(CASE WHEN ok THEN x END AS DOUBLE) AS x FROM (SELECT *, y BETWEEN 0 AND 9 AND x BETWEEN 0 AND 9 AS ok FROM (SELECT pid, CAST(round_even((lat - 41.0) / -0.01, 0) AS INT) AS y, CAST(round_even((lon - 14.0) / 0.01, 0) AS INT) AS x FROM points))")
 def _(st):
-    return raster.locate(st.points, GRID).select("pid", "y", "x")
+    return raster.locate(st.points, GRID).select("pid", c("y").cast("double").alias("y"), c("x").cast("double").alias("x"))
 
 
 @query("prj08_pixel_position", f"SELECT y, x, {r('41.0::DOUBLE + y * -0.01::DOUBLE', 8)} AS lat, {r('14.0::DOUBLE + x * 0.01::DOUBLE', 8)} AS lon FROM px")
@@ -337,7 +337,7 @@ QUERIES["qry07_mask_raster"], ORACLES["qry07_mask_raster"] = QUERIES["flt04_mask
 
 @query("flt06_enough_pairs", "SELECT y, x, count(ph) AS n FROM obs GROUP BY y, x HAVING count(ph) > CAST(floor(2.65 * (SELECT count(*) FROM epochs)) AS INT)")
 def _(st):
-    return st.obs.groupBy("y", "x").agg(F.count("ph").alias("n")).where(c("n") > int(2.65 * st.epochs.count()))
+    return st.obs.groupBy("y", "x").agg(F.count("ph").alias("n")).where(c("n") > int(2.65 * len(st.epoch_rows)))
 
 
 @query("flt08_first_epoch_valid", "SELECT y, x, count(*) AS n FROM cum WHERE (y, x) IN (SELECT (y, x) FROM cum WHERE t = 0 AND d IS NOT NULL) GROUP BY y, x")
@@ -387,9 +387,9 @@ def _(st):
 
 
 @query("qry04_point_values", f""", spot AS (SELECT pid, lat, lon, CASE WHEN y BETWEEN 0 AND 9 AND x BETWEEN 0 AND 9 THEN y END AS y, CASE WHEN y BETWEEN 0 AND 9 AND x BETWEEN 0 AND 9 THEN x END AS x FROM (SELECT *, CAST(round_even((lat - 41.0) / -0.01, 0) AS INT) AS y, CAST(round_even((lon - 14.0) / 0.01, 0) AS INT) AS x FROM points))
-SELECT pid, a.y, a.x, {r('max(CASE WHEN h.y = a.y AND h.x = a.x THEN hgt END)')} AS value, {r('avg(hgt)')} AS mean FROM spot a LEFT JOIN heights h ON abs(h.y - a.y) <= 1 AND abs(h.x - a.x) <= 1 GROUP BY pid, a.y, a.x""")
+SELECT pid, CAST(a.y AS DOUBLE) AS y, CAST(a.x AS DOUBLE) AS x, {r('max(CASE WHEN h.y = a.y AND h.x = a.x THEN hgt END)')} AS value, {r('avg(hgt)')} AS mean FROM spot a LEFT JOIN heights h ON abs(h.y - a.y) <= 1 AND abs(h.x - a.x) <= 1 GROUP BY pid, a.y, a.x""")
 def _(st):
-    return raster.values_at(st.points, st.heights, GRID, 3, "hgt").select("pid", "y", "x", R(c("value"), 6).alias("value"), R(c("mean"), 6).alias("mean"))
+    return raster.values_at(st.points, st.heights, GRID, 3, "hgt").select("pid", c("y").cast("double").alias("y"), c("x").cast("double").alias("x"), R(c("value"), 6).alias("value"), R(c("mean"), 6).alias("mean"))
 
 
 for _name in ("joi07_points_nearest", "joi08_point_window", "spa06_box_average"):
@@ -455,7 +455,7 @@ def _(st):
 
 @query("agg03_valid_area", "SELECT y, x, count(ph) AS n_unw FROM obs GROUP BY y, x HAVING count(ph) >= (SELECT count(*) FROM epochs)")
 def _(st):
-    return closure.unwrap_counts(st.obs).where(c("n_unw") >= st.epochs.count())
+    return closure.unwrap_counts(st.obs).where(c("n_unw") >= len(st.epoch_rows))
 
 
 AREA0 = ", area0 AS (SELECT y, x FROM obs GROUP BY y, x HAVING count(ph) >= (SELECT count(*) FROM epochs)), quality AS (SELECT p, coalesce(n, 0)::DOUBLE / nullif((SELECT count(*) FROM area0), 0) AS coverage, coherence FROM pairs LEFT JOIN (SELECT p, count(ph) AS n, avg(nullif(coh, 0)) AS coherence FROM obs JOIN area0 USING (y, x) GROUP BY p) USING (p))"
@@ -463,12 +463,12 @@ AREA0 = ", area0 AS (SELECT y, x FROM obs GROUP BY y, x HAVING count(ph) >= (SEL
 
 @query("agg04_pair_quality", AREA0 + f" SELECT p, {r('coverage')} AS coverage, {r('coherence')} AS coherence FROM quality")
 def _(st):
-    return decide.pair_quality(st.obs, st.epochs.count()).select("p", R(c("coverage"), 6).alias("coverage"), R(c("coherence"), 6).alias("coherence"))
+    return decide.pair_quality(st.obs, len(st.epoch_rows)).select("p", R(c("coverage"), 6).alias("coverage"), R(c("coherence"), 6).alias("coherence"))
 
 
 @query("qc01_bad_pairs", AREA0 + " SELECT p, NOT coalesce(coverage >= 0.9 AND coherence >= 0.4, false) AS bad FROM quality")
 def _(st):
-    return decide.bad_pairs(decide.pair_quality(st.obs, st.epochs.count()), 0.9, 0.4).select("p", "bad")
+    return decide.bad_pairs(decide.pair_quality(st.obs, len(st.epoch_rows)), 0.9, 0.4).select("p", "bad")
 
 
 @query("agg15_correction_effect", DELAYS + f", corr AS (SELECT p, a.y, a.x, b.delay - a.delay AS corr FROM pairs JOIN delays a ON a.t = i JOIN delays b ON b.t = j AND b.y = a.y AND b.x = a.x), k AS (SELECT p, ph AS before, ph - corr AS ph FROM obs JOIN corr USING (p, y, x) WHERE ph IS NOT NULL) SELECT p, {r('stddev_pop(before)')} AS std_before, {r('stddev_pop(ph)')} AS std_after, {r('(stddev_pop(before) - stddev_pop(ph)) / nullif(stddev_pop(before), 0) * 100', 4)} AS rate FROM k GROUP BY p")
@@ -491,7 +491,7 @@ def _(st):
 
 
 def _net(st):
-    n = st.pairs.count()
+    n = len(st.pair_rows)
     loops = network.local(network.triangles(st.pairs))
     packed = closure.pack(st.obs, n)
     return loops, packed, closure.without_cycles(closure.loop_phase(packed, loops))
@@ -500,7 +500,7 @@ def _net(st):
 @query("joi03_loop_phase", PHI + f" SELECT y, x, l, {r('phi')} AS phi FROM phases")
 def _(st):
     loops = network.local(network.triangles(st.pairs))
-    return closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops).select("y", "x", "l", R(c("phi"), 6).alias("phi"))
+    return closure.loop_phase(closure.pack(st.obs, len(st.pair_rows)), loops).select("y", "x", "l", R(c("phi"), 6).alias("phi"))
 
 
 @query("agg06_loop_rms", PHI + f" SELECT l, p12, p23, p13, n, {r('rms')} AS rms FROM rated")
@@ -512,7 +512,7 @@ def _(st):
 @query("agg06_loop_rms_multi_prime", PHI + f" SELECT l, {r('sqrt(avg(pow(phi - med, 2)))')} AS rms FROM phases JOIN med USING (l) GROUP BY l")
 def _(st):
     loops = network.local(network.triangles(st.pairs))
-    ph = closure.without_cycles(closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops), multi_prime=True)
+    ph = closure.without_cycles(closure.loop_phase(closure.pack(st.obs, len(st.pair_rows)), loops), multi_prime=True)
     return ph.groupBy("l").agg(R(F.sqrt(F.avg(c("phi") * c("phi"))), 6).alias("rms"))
 
 
@@ -557,7 +557,7 @@ def _(st):
 @query("agg09_referenced_rms", PHI + REFP + f" SELECT l, {r('rms')} AS rms FROM loops LEFT JOIN (SELECT l, sqrt(avg(pow(phi - base, 2))) AS rms FROM phases JOIN base USING (l) GROUP BY l) USING (l)")
 def _(st):
     loops = network.local(network.triangles(st.pairs))
-    ph = closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops)
+    ph = closure.loop_phase(closure.pack(st.obs, len(st.pair_rows)), loops)
     return closure.referenced_loop_rms(ph, closure.reference_phase(st.obs, REF), loops).select("l", R(c("rms"), 6).alias("rms"))
 
 
@@ -568,14 +568,14 @@ PHASES = PHI[: PHI.index(", med AS")]
 @query("qc06_bad_after_reference", PHASES + REFP + RATED3 + f" SELECT DISTINCT p FROM {LP} WHERE rms >= 0.8 AND p NOT IN (SELECT p FROM {LP} WHERE rms < 0.8)")
 def _(st):
     loops = network.local(network.triangles(st.pairs))
-    ph = closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops)
+    ph = closure.loop_phase(closure.pack(st.obs, len(st.pair_rows)), loops)
     return closure.bad_pairs(closure.referenced_loop_rms(ph, closure.reference_phase(st.obs, REF), loops), 0.8)
 
 
 @query("agg08_loop_errors", PHI + REFP + " SELECT y, x, count(*) FILTER (abs(phi - base) > pi()) AS n_loop_err FROM phases JOIN base USING (l) GROUP BY y, x")
 def _(st):
     loops = network.local(network.triangles(st.pairs))
-    ph = closure.loop_phase(closure.pack(st.obs, st.pairs.count()), loops)
+    ph = closure.loop_phase(closure.pack(st.obs, len(st.pair_rows)), loops)
     return closure.loop_errors(ph, closure.reference_phase(st.obs, REF), loops)
 
 
@@ -595,32 +595,28 @@ def _(st):
 
 @query("agg12_gap_counts", "SELECT y, x, CAST(count(*) FILTER (n = 0) AS INT) AS n_gap FROM (SELECT y, x, t, count(ph) FILTER (i <= t AND t < j) AS n FROM obs, (SELECT t FROM epochs WHERE t < (SELECT max(t) FROM epochs)) GROUP BY y, x, t) GROUP BY y, x")
 def _(st):
-    return closure.gap_counts(closure.gap_flags(closure.pack(st.obs, st.pairs.count()), st.pairs, st.epochs.count()))
+    return closure.gap_counts(closure.gap_flags(closure.pack(st.obs, len(st.pair_rows)), st.pairs, len(st.epoch_rows)))
 
 
 @query("agg13_no_loop_counts", PHI + " SELECT y, x, CAST(count(ph) - count(DISTINCT CASE WHEN ph IS NOT NULL THEN q END) AS INT) AS n_noloop FROM obs o LEFT JOIN (SELECT DISTINCT y AS qy, x AS qx, unnest([p12, p23, p13]) AS q FROM phases JOIN loops USING (l)) k ON k.qy = y AND k.qx = x AND q = p GROUP BY y, x")
 def _(st):
-    return closure.no_loop_counts(closure.pack(st.obs, st.pairs.count()), network.triangles(st.pairs))
+    return closure.no_loop_counts(closure.pack(st.obs, len(st.pair_rows)), network.triangles(st.pairs))
 
 
 @query("win04_longest_run", f""", g AS (SELECT y, x, t, count(ph) FILTER (i <= t AND t < j) = 0 AS gap FROM obs, (SELECT t FROM epochs WHERE t < (SELECT max(t) FROM epochs)) GROUP BY y, x, t),
 s AS (SELECT y, x, gap, b.yr - a.yr AS d, sum(gap::INT) OVER (PARTITION BY y, x ORDER BY g.t) AS seg FROM g JOIN epochs a ON a.t = g.t JOIN epochs b ON b.t = g.t + 1)
 SELECT y, x, {r('max(n)')} AS max_run FROM (SELECT y, x, seg, sum(CASE WHEN gap THEN 0 ELSE d END) AS n FROM s GROUP BY y, x, seg) GROUP BY y, x""")
 def _(st):
-    gap = closure.gap_flags(closure.pack(st.obs, st.pairs.count()), st.pairs, st.epochs.count())
-    return closure.longest_run(gap, _years(st)).withColumn("max_run", R(c("max_run"), 6))
-
-
-def _years(st) -> list[float]:
-    return [row["yr"] for row in st.epochs.orderBy("t").collect()]
+    gap = closure.gap_flags(closure.pack(st.obs, len(st.pair_rows)), st.pairs, len(st.epoch_rows))
+    return closure.longest_run(gap, st.years).withColumn("max_run", R(c("max_run"), 6))
 
 
 # --- inversion -----------------------------------------------------------------------------------------------------
 
 
 def _inverted(st, **kw):
-    packed = closure.pack(st.obs, st.pairs.count())
-    return packed, invert.invert(packed, st.pairs, _years(st), coef=COEF, **kw)
+    packed = closure.pack(st.obs, len(st.pair_rows))
+    return packed, invert.invert(packed, st.pairs, st.years, coef=COEF, **kw)
 
 
 @query("la03_invert", None)
@@ -633,7 +629,7 @@ def _(st):
     chain = st.pairs.where("j = i + 1").select(c("i").alias("p"), "i", "j")
     steps = st.cum.select("y", "x", c("t").alias("j"), "d").join(F.broadcast(chain), "j").join(st.cum.select("y", "x", c("t").alias("i"), c("d").alias("d0")), ["y", "x", "i"])
     packed = closure.pack(steps.select("y", "x", "p", ((c("d") - c("d0")) / COEF).alias("ph"), F.lit(None).cast("double").alias("coh")), chain.count())
-    inv = invert.invert(packed, chain, _years(st), coef=COEF, gamma=1e-6)
+    inv = invert.invert(packed, chain, st.years, coef=COEF, gamma=1e-6)
     return inv.select("y", "x", F.posexplode("inc").alias("k", "inc")).select("y", "x", "k", R(c("inc"), 5).alias("inc"))
 
 
@@ -655,8 +651,8 @@ def _(st):
 @query("win01_displacement", None)
 def _(st):
     packed, inv = _inverted(st)
-    gap = closure.gap_flags(packed, st.pairs, st.epochs.count())
-    return invert.long_series(invert.accumulate(inv, gap), _years(st)).select("y", "x", "t", R(c("d"), 4).alias("d"))
+    gap = closure.gap_flags(packed, st.pairs, len(st.epoch_rows))
+    return invert.long_series(invert.accumulate(inv, gap), st.years).select("y", "x", "t", R(c("d"), 4).alias("d"))
 
 
 QUERIES["win05_gap_nulls"] = QUERIES["win01_displacement"]
@@ -746,7 +742,7 @@ def _(st):
 
 @query("agg16_spatial_rms", f", med AS (SELECT t, median(d) AS m FROM cum GROUP BY t) SELECT y, x, CASE WHEN count(d) = (SELECT count(*) FROM epochs) THEN {r('sqrt(sum(pow(d - m, 2)) / (SELECT count(*) FROM epochs))')} END AS rms FROM cum JOIN med USING (t) GROUP BY y, x")
 def _(st):
-    return series.spatial_rms(st.cum, st.epochs.count()).withColumn("rms", R(c("rms"), 6))
+    return series.spatial_rms(st.cum, len(st.epoch_rows)).withColumn("rms", R(c("rms"), 6))
 
 
 STABLE = f", med AS (SELECT t, median(d) AS m FROM cum GROUP BY t), k AS (SELECT y, x, CASE WHEN count(d) = (SELECT count(*) FROM epochs) THEN sqrt(avg(pow(d - m, 2))) END AS rms FROM cum JOIN med USING (t) GROUP BY y, x), g AS (SELECT y, x, {MASK} AS n_gap FROM k), stable AS (SELECT y, x FROM k JOIN g USING (y, x) WHERE rms IS NOT NULL AND n_gap = (SELECT min(n_gap) FROM g) ORDER BY rms, y, x LIMIT 1)"
@@ -754,7 +750,7 @@ STABLE = f", med AS (SELECT t, median(d) AS m FROM cum GROUP BY t), k AS (SELECT
 
 def _stable(st):
     gaps = st.cum.select("y", "x").distinct().withColumn("n_gap", F.expr(MASK))
-    return series.stable_pixel(series.spatial_rms(st.cum, st.epochs.count()), gaps)
+    return series.stable_pixel(series.spatial_rms(st.cum, len(st.epoch_rows)), gaps)
 
 
 @query("top03_stable_pixel", STABLE + " SELECT y, x FROM stable")

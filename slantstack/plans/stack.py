@@ -39,11 +39,19 @@ class Stack:
         return self.table("lineitem").select((F.col("l_suppkey") % SIDE).cast("int").alias("y"), (F.col("l_partkey") % SIDE).cast("int").alias("x"), F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("q"), F.col("l_quantity").cast("long").alias("n")).groupBy("y", "x", "q").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
 
     @cached_property
-    def epochs(self) -> DataFrame:
-        """t, q, yr: a row an acquisition, read once and kept as a local table."""
+    def epoch_rows(self) -> list:
+        """t, q, yr: a row an acquisition, read once."""
         w = Window.orderBy("q")
         q = self.table("lineitem").select(F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("q")).distinct()
-        return network.local(q.select((F.row_number().over(w) - 1).alias("t"), "q", (F.date_diff("q", F.min("q").over(w)) / F.lit(365.25)).alias("yr")))
+        return q.select((F.row_number().over(w) - 1).alias("t"), "q", (F.date_diff("q", F.min("q").over(w)) / F.lit(365.25)).alias("yr")).orderBy("t").collect()
+
+    @property
+    def years(self) -> list[float]:
+        return [r["yr"] for r in self.epoch_rows]
+
+    @cached_property
+    def epochs(self) -> DataFrame:
+        return self.spark.createDataFrame(self.epoch_rows, "t int, q date, yr double")
 
     @cached_property
     def cum(self) -> DataFrame:
@@ -54,11 +62,14 @@ class Stack:
         return c.withColumn("c0", first).where("c0 is not null").select("y", "x", "t", "yr", (F.col("c") - F.col("c0")).alias("d"))
 
     @cached_property
-    def pairs(self) -> DataFrame:
+    def pair_rows(self) -> list[dict]:
         """p, i, j: epochs at most ``REACH`` apart, numbered in order."""
-        a, b = self.epochs.select(F.col("t").alias("i")), self.epochs.select(F.col("t").alias("j"))
-        near = a.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("i") + REACH))).join(F.broadcast(b), "j").select("i", "j")
-        return network.local(near.select((F.row_number().over(Window.orderBy("i", "j")) - 1).alias("p"), "i", "j"))
+        n = len(self.epoch_rows)
+        return [{"p": p, "i": i, "j": j} for p, (i, j) in enumerate((i, j) for i in range(n) for j in range(i + 1, min(n, i + REACH + 1)))]
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return self.spark.createDataFrame(self.pair_rows, "p int, i int, j int")
 
     @cached_property
     def pair_names(self) -> DataFrame:
@@ -71,8 +82,8 @@ class Stack:
     def obs(self) -> DataFrame:
         """y, x, p, i, j, ph, coh: every pair at every pixel, NULL where there is no data."""
         # A pixel's series is one array, so a pair is two look-ups: one scan, no join.
-        packed = series.pack_series(self.cum.select("y", "x", "t", "d"), self.epochs.count())
-        listed = F.explode(F.array(*[F.struct(F.lit(r["p"]).alias("p"), F.lit(r["i"]).alias("i"), F.lit(r["j"]).alias("j")) for r in self.pairs.collect()])).alias("k")
+        packed = series.pack_series(self.cum.select("y", "x", "t", "d"), len(self.epoch_rows))
+        listed = F.explode(network.constant(self.pair_rows, ("p", "i", "j"))).alias("k")
         both = packed.select("y", "x", "d", listed).select("y", "x", "k.p", "k.i", "k.j", F.get("d", F.col("k.i")).alias("di"), F.get("d", F.col("k.j")).alias("dj")).where("di is not null and dj is not null")
         ok = "(7*x + 13*y + 31*i + 17*j) % 23 <> 0 AND NOT ((x + 2*y) % 7 = 0 AND i <= 9 AND j > 9)"
         jump = "CASE WHEN (x + 3*y + 5*i + 7*j) % 7 = 0 AND (i + 2*j) % 13 = 0 THEN 6.283185307179586D ELSE 0D END"
