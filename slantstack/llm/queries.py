@@ -93,6 +93,29 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+def _template_values() -> str:
+    rows = [(label, text, True) for text, label in license_scan.BASE] + [(label, text, False) for label, text in license_scan.NOTICES]
+    return ", ".join(f"({k}, '{label}', {base}, {_WORDS.format(repr(text))})" for k, (label, text, base) in enumerate(rows))
+
+
+_OP4 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format('text')} AS w FROM documents),
+t AS (SELECT template, label, base, CAST(len(w) - 1 AS INT) AS size, i - 1 AS tpos, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM (VALUES {_template_values()}) v(template, label, base, w))),
+g AS (SELECT r, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
+votes AS (SELECT DISTINCT r, template, label, base, size, pos - tpos AS diagonal, tpos FROM g JOIN t USING (a, b)),
+marked AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {license_scan.GAP}, true) THEN 1 ELSE 0 END AS apart
+  FROM (SELECT DISTINCT r, template, label, base, size, diagonal FROM votes)),
+spans AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM marked),
+merged AS (SELECT r, template, label, base, size, span, min(diagonal) AS start, CAST(count(DISTINCT tpos) AS DOUBLE) / size AS cover FROM spans JOIN votes USING (r, template, label, base, size, diagonal) GROUP BY r, template, label, base, size, span),
+good AS (SELECT * FROM merged WHERE cover >= CASE WHEN base OR size < {license_scan.SHORT} THEN 1 ELSE 0.6 END),
+found AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM good GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN found USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -110,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2}
+    return {"op2_decontaminate": _OP2, "op4_license_scan": _OP4}
