@@ -17,6 +17,8 @@ WORD_BYTES = bytes(32 if b in _GAPS else b + 32 if 0x41 <= b <= 0x5A else b for
 #: bytes.translate table: A-Z to a-z only.
 LOWER_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
+BATCH_BYTES = 4 << 20
+
 #: The gaps as a Java/RE2 class, for texts whose A-Z are lower case.
 GAP_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,6 +49,16 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_BYTES`` of rows go to a Python worker at a time, unless the session has a limit of its own.
+
+    By default it is 10,000 rows whatever their size, which the JVM and the worker both hold.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, so that only a few texts at a time are Python objects."""
     for b in batches:

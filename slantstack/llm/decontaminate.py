@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, sliced, source_key
+from .common import WORD_BYTES, sliced, small_batches, source_key
 
 BLOCK_CHARS = 8_000_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -116,6 +116,7 @@ _SCANNED = "doc_id {}, text string, n_words long, spans array<struct<begin:long,
 
 def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("text",), width: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, text, n_words, spans (code points, begin and end) and items (ids, sorted) of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = patterns(items, item_id, list(item_texts), width, block_chars)
@@ -168,6 +169,7 @@ def _flagger(shared, key: str, text_at: int):
 
 def without_hits(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("text",), width: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, with all their columns, in whose text no pattern stands. Nothing is shuffled."""
+    small_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
     for block in patterns(items, item_id, list(item_texts), width, block_chars):

@@ -25,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, small_batches
 
-BUCKETS, SLICE, PENALTY, ROUNDS, SMOOTH = 1 << 15, 1 << 20, 3.0, 12, 0.05
+BUCKETS, SLICE, PENALTY, ROUNDS, SMOOTH = 1 << 15, 1 << 18, 3.0, 12, 0.05
 UNKNOWN = "und"
 
 
 @cache
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter, 0 if it is no letter."""
-    return np.array([ord(c.lower()[0]) if c.isalpha() else 0 for c in map(chr, range(0x110000))], np.uint32)
+    return np.fromiter((ord(c.lower()[0]) if c.isalpha() else 0 for c in map(chr, range(0x110000))), np.uint32, 0x110000)
 
 
 def _codes(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -79,6 +79,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-likelihoods (bucket, language) of trigrams."""
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     rows = labelled.mapInArrow(_counter, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
@@ -156,6 +157,7 @@ def _predictor(shared):
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, columns: dict | None = None, text_col: str = "text") -> DataFrame:
     """``columns`` (name: expression), lang_pred and score of every row."""
+    small_batches(docs.sparkSession)
     read = docs.select(*(v.alias(k) for k, v in (columns or {"doc_id": F.col("doc_id")}).items()), F.col(text_col).cast("string").alias("the_text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in read.schema.fields[:-1])
     return read.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), fields + "lang_pred string, score double")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sliced, spare
+from .common import durable, sliced, small_batches, spare
 
 MARGIN, MOST_LINES = 4, 16
 #: What ends a line.
@@ -156,6 +156,7 @@ def _rebuild(min_words: int):
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``others``, new_text, n_removed (lines) and emptied (nothing is left) of every row."""
+    small_batches(docs.sparkSession)
     rk = F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("rk")
     read = docs.select(F.col(id_col).alias("doc_id"), rk, F.col(text_col).cast("string").alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, small_batches
 
 WIDTH, MAX_RANGES = 128, 4096
 
@@ -97,6 +97,7 @@ def _compare(id_type: pa.DataType):
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and its edited text, and how near they are to each other and to the next text's."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     ranges = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

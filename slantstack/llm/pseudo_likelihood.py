@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, durable, frequent, sliced
+from .common import LOWER_BYTES, durable, frequent, sliced, small_batches
 
 CLASSES, MEMBERS, RARE, HIDDEN, SIDE = 32, 32, 64, 16, 2
 TOKENS, PAD = CLASSES * MEMBERS, CLASSES * MEMBERS
@@ -161,6 +161,7 @@ def _trainer(shared):
 
 
 def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS) -> tuple[dict[bytes, int], np.ndarray]:
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     vocab, flat = vocabulary(docs, text_col), start()
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -204,5 +205,6 @@ def _scorer(shared):
 
 def score(docs: DataFrame, model: tuple[dict[bytes, int], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_prob (sum over tokens) and per_token of every row."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return read.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_prob double, per_token double")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, durable, sliced, source_key, spare
+from .common import LOWER_BYTES, durable, sliced, small_batches, source_key, spare
 
 HALF = 32
 #: At most this many distinct fingerprints of a key are paired; larger ones are linked through shared points.
@@ -84,6 +84,7 @@ def _printer(k: int):
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp of every row."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return read.mapInArrow(_printer(shingle), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -216,6 +217,7 @@ def similar_pairs(profiles: DataFrame, similarity: float = 0.8) -> DataFrame:
     ``similarity`` is less than two steps) are each compared with the least fingerprint among them: a row a holder, however
     common the section. Texts above the similarity share several of their sections.
     """
+    small_batches(profiles.sparkSession)
     step = F.when(F.col("n") > 0, F.floor(F.log("n") / F.log(F.lit(1 / similarity))).cast("int")).otherwise(-1)
     held = profiles.select("fp", F.explode("sections").alias("section"), step.alias("step")).select("fp", "section", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
     least = durable(held.groupBy("section", "step").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("section", "step", "a"), "sections")
@@ -233,6 +235,7 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_c
     fingerprint and have ``similarity`` of their shingles in common: a few edited words change ten bits and more of a
     whole text's fingerprint at that similarity, but leave most sections as they were.
     """
+    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), source_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     prints = durable(read.mapInArrow(_profiler(shingle), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, fp long, n long, sections array<long>, sketch binary"), "prints")
     # nulls last, then by digest; n_rows counts rows that are equal in both

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir, sliced
+from .common import durable, shared_dir, sliced, small_batches
 
 CACHED = "digest binary, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -81,6 +81,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, cache: str | None = None, i
 
     ``cache``: a folder that all executors share; by default one in the shared folder of the session.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = f"{(cache or shared_dir(spark) + '/token-counts').rstrip('/')}/tokenizer={tokenizer_version(tokenizer)}"
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, frequent
+from .common import durable, frequent, small_batches
 
 LEXICON, TOKENS, LONGEST = 50_000, 100_000, 24
 #: Words that mark pages to learn from; with a count in the lexicon as if seen so often.
@@ -135,6 +135,7 @@ def _judge(shared):
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, words (of the host) and p_block of every row."""
+    small_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(train(pages, url_col=url_col, html_col=html_col))
     host, path = parts(F.col(url_col))
     rule, action = rule_columns(rules)
