@@ -5,8 +5,8 @@ rolling hash over the hashes of two neighbouring lines ends a chunk at every oth
 the lines beside them only, so insertions elsewhere don't move them. A chunk whose hash stands in more than one place is
 a candidate. Its first place (least id, then position) keeps it; at each other place its bytes are compared with the
 first one's, and the match grows over the lines beside it while they are the same there (``MARGIN`` line hashes on
-either side; whatever lies further belongs to another chunk). Runs of matched lines are removed if they hold two lines
-and ``min_words`` words at least, so a lone common line stays.
+either side; whatever lies further belongs to another chunk). Runs of matched lines are removed if they hold ``min_words``
+words at least, in two lines or in one of ``LONE`` words, so a lone common line stays.
 
 Shuffles: one row a chunk (hash, id, place), counted with partial sums, and the compressed texts twice: to fetch the
 first places' bytes and to rebuild. Rows of one hot chunk are joined to a single row of it.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, sliced, small_batches, spare
 
-MARGIN, MOST_LINES = 4, 16
+MARGIN, MOST_LINES, LONE = 4, 16, 50
+#: Longer lines (bytes) are cut after words that end in e or n too: that depends on the words alone.
+LONG = 160
 #: What ends a line.
 _ENDS = (b"\n", b". ", b", ")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -39,7 +41,10 @@ def lines(text: bytes) -> list[bytes]:
     """Concatenated they are the text (0xFF is in no UTF-8 text)."""
     for end in _ENDS:
         text = text.replace(end, end + b"\xff")
-    return text.split(b"\xff")
+    parts = text.split(b"\xff")
+    if max(map(len, parts)) <= LONG:
+        return parts
+    return [q for p in parts for q in (p.replace(b"e ", b"e \xff").replace(b"n ", b"n \xff").split(b"\xff") if len(p) > LONG else (p,))]
 
 
 def line_hashes(parts: list[bytes]) -> np.ndarray:
@@ -128,7 +133,8 @@ def removed_lines(parts: list[bytes], matches: list[dict], min_words: int) -> np
         gone[x:y] = True
     for x, y in np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2):
         full = [p for p in parts[x:y] if p.strip()]
-        if len(full) < 2 or sum(len(p.split()) for p in full) < min_words:
+        words = sum(len(p.split()) for p in full)
+        if words < min_words or len(full) < 2 and words < LONE:
             gone[x:y] = False
     return gone
 

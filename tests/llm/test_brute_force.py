@@ -502,3 +502,20 @@ def test_frequent(spark):
     counts = spark.createDataFrame([(f"w{k}", k + 1) for k in range(50)] + [("tie", 50)], "word string, n long")
     got = {r["word"] for r in frequent(counts, 10).collect()}
     assert len(got) <= 10 and {"w49", "tie"} <= got and frequent(counts, 1).count() == 0 and frequent(counts.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("marks", [".,", ".", ""])
+@pytest.mark.parametrize("apart", ["\n", " "])
+def test_passages_of_any_form(docs_of, prose, marks, apart):
+    """Passages of 60 to 90 words, with or without line and clause ends, on lines of their own or inside others."""
+    strip = lambda t: t if "." in marks else t.replace(".", "")
+    passages = [strip(prose(60 + 5 * k, 300 + k)) for k in range(7)]
+    texts = [strip(prose(40, 1000 + 10 * k + j)) + apart + p + apart + strip(prose(40, 2000 + 10 * k + j)) for k, p in enumerate(passages) for j in range(3)]
+    left = by_id(line_dedup.dedup_lines(docs_of(texts)), "new_text")
+    windows = lambda t: {" ".join(w[i : i + 50]) for w in [t.split()] for i in range(len(w) - 49)}
+    seen = Counter(w for k in left for w in windows(left[k][0]))
+    # Without any mark, cuts hang on words' last letters, and random ones end in e or n far less often than a language's.
+    most = 0.1 if marks or apart == "\n" else 0.25
+    assert sum(n > 1 for n in seen.values()) <= most * sum(len(p.split()) - 49 for p in passages)
+    for k, t in enumerate(texts):
+        assert left[k][0].split()[:36] == t.split()[:36] and left[k][0].split()[-36:] == t.split()[-36:]
