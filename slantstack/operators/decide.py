@@ -15,14 +15,15 @@ FLOORS = ("coh_avg", "n_unw", "max_run")
 CRITERIA = tuple(f.name for f in fields(Thresholds))
 
 
-def pair_quality(obs: DataFrame, n_epochs: int) -> DataFrame:
-    """p, coverage, coherence of each pair within the valid area: pixels with data in as many pairs as there are epochs."""
-    counts = obs.groupBy("y", "x").agg(F.count("ph").alias("n_unw")).where(F.col("n_unw") >= n_epochs)
-    area = counts.agg(F.count(F.lit(1)).alias("n_valid"))
-    inside = obs.join(counts.select("y", "x"), ["y", "x"], "left_semi")
-    per = inside.groupBy("p").agg(F.count("ph").alias("n"), F.avg(F.nullif("coh", F.lit(0.0))).alias("coherence"))
-    all_pairs = obs.select("p").distinct()
-    return all_pairs.join(F.broadcast(per), "p", "left").join(F.broadcast(area)).select("p", F.try_divide(F.coalesce("n", F.lit(0)), F.col("n_valid")).alias("coverage"), "coherence")
+def pair_quality(packed: DataFrame, pairs: DataFrame, n_epochs: int) -> DataFrame:
+    """p, coverage, coherence of each pair within the valid area: pixels with data in as many pairs as there are epochs.
+
+    Whether a pixel is valid shows in its own packed row, so this is one pass with one row a pair and task shuffled.
+    """
+    valid = packed.where(F.size(F.filter("ph", lambda v: v.isNotNull())) >= n_epochs)
+    rows = valid.select(F.posexplode(F.arrays_zip("ph", "coh")).alias("p", "o"))
+    per = rows.groupBy("p").agg((F.count("o.ph") / F.count(F.lit(1))).alias("coverage"), F.avg(F.nullif("o.coh", F.lit(0.0))).alias("coherence"))
+    return pairs.select("p").join(F.broadcast(per), "p", "left").select("p", "coverage", "coherence")
 
 
 def bad_pairs(quality: DataFrame, coverage: float = 0.3, coherence: float = 0.05) -> DataFrame:

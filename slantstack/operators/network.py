@@ -14,8 +14,8 @@ PAIR = r"(?:^|/)(2\d{7}_2\d{7})/?$"
 
 
 def local(df: DataFrame) -> DataFrame:
-    """A network table (a row an epoch, pair or loop) computed once and kept in the plan."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """A network table (a row an epoch, pair or loop) computed once and kept in the plan as a local relation."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def constant(rows, fields: tuple[str, ...]):

@@ -463,12 +463,12 @@ AREA0 = ", area0 AS (SELECT y, x FROM obs GROUP BY y, x HAVING count(ph) >= (SEL
 
 @query("agg04_pair_quality", AREA0 + f" SELECT p, {r('coverage')} AS coverage, {r('coherence')} AS coherence FROM quality")
 def _(st):
-    return decide.pair_quality(st.obs, len(st.epoch_rows)).select("p", R(c("coverage"), 6).alias("coverage"), R(c("coherence"), 6).alias("coherence"))
+    return decide.pair_quality(closure.pack(st.obs, len(st.pair_rows)), st.pairs, len(st.epoch_rows)).select("p", R(c("coverage"), 6).alias("coverage"), R(c("coherence"), 6).alias("coherence"))
 
 
 @query("qc01_bad_pairs", AREA0 + " SELECT p, NOT coalesce(coverage >= 0.9 AND coherence >= 0.4, false) AS bad FROM quality")
 def _(st):
-    return decide.bad_pairs(decide.pair_quality(st.obs, len(st.epoch_rows)), 0.9, 0.4).select("p", "bad")
+    return decide.bad_pairs(decide.pair_quality(closure.pack(st.obs, len(st.pair_rows)), st.pairs, len(st.epoch_rows)), 0.9, 0.4).select("p", "bad")
 
 
 @query("agg15_correction_effect", DELAYS + f", corr AS (SELECT p, a.y, a.x, b.delay - a.delay AS corr FROM pairs JOIN delays a ON a.t = i JOIN delays b ON b.t = j AND b.y = a.y AND b.x = a.x), k AS (SELECT p, ph AS before, ph - corr AS ph FROM obs JOIN corr USING (p, y, x) WHERE ph IS NOT NULL) SELECT p, {r('stddev_pop(before)')} AS std_before, {r('stddev_pop(ph)')} AS std_after, {r('(stddev_pop(before) - stddev_pop(ph)) / nullif(stddev_pop(before), 0) * 100', 4)} AS rate FROM k GROUP BY p")

@@ -51,7 +51,8 @@ def clip(run: Run) -> None:
 
 
 def check_pairs(run: Run) -> None:
-    quality = decide.pair_quality(run.tables["obs"], run.tables["epochs"].count())
+    packed = closure.pack(run.tables["obs"], run.tables["pairs"].agg(F.max("p")).first()[0] + 1)
+    quality = decide.pair_quality(packed, run.tables["pairs"], run.tables["epochs"].count())
     decided = decide.require_good(run.keep("quality", decide.bad_pairs(quality, run.settings.unw_ratio, run.settings.coherence)))
     run.tables["bad"] = decided.where("bad").select("p")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ class Stack:
 
     @cached_property
     def epochs(self) -> DataFrame:
-        return self.spark.createDataFrame(self.epoch_rows, "t int, q date, yr double")
+        return self.spark.createDataFrame(pa.table({c: [r[c] for r in self.epoch_rows] for c in ("t", "q", "yr")}), "t int, q date, yr double")
 
     @cached_property
     def cum(self) -> DataFrame:
@@ -69,7 +70,7 @@ class Stack:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return self.spark.createDataFrame(self.pair_rows, "p int, i int, j int")
+        return self.spark.createDataFrame(pa.table({c: [r[c] for r in self.pair_rows] for c in ("p", "i", "j")}), "p int, i int, j int")
 
     @cached_property
     def pair_names(self) -> DataFrame:
