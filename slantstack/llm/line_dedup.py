@@ -33,6 +33,7 @@ MARGIN, MOST_LINES, LONE = 4, 16, 50
 LONG = 160
 #: What ends a line.
 _ENDS = (b"\n", b". ", b", ")
+_BLANK = np.uint64(xxhash.xxh3_64_intdigest(b""))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.cumprod(np.full(MOST_LINES, 0xD6E8FEB86659FD93, np.uint64))
 
@@ -68,20 +69,19 @@ def chunks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
-        ids, rks, hs, idx = [], [], [], []
-        for doc_id, rk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+        hs, idx, of = [], [], []
+        for row, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
             if not text:
                 continue
-            parts = lines(text)
-            begins, h = chunks(line_hashes(parts))
-            stops = np.append(begins[1:], len(parts))
-            some = np.flatnonzero([any(p.strip() for p in parts[x:y]) for x, y in zip(begins, stops, strict=True)])  # blank lines are no chunk
+            hashes = line_hashes(lines(text))
+            begins, h = chunks(hashes)
+            some = np.flatnonzero(np.add.reduceat(hashes != _BLANK, begins))  # chunks of blank lines are none
             hs.append(h[some])
             idx.append(some)
-            ids.extend([doc_id] * len(some))
-            rks.extend([rk] * len(some))
+            of.append(np.full(len(some), row))
         if hs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(ids, b.column(0).type), pa.array(rks, pa.int64()), pa.array(np.concatenate(idx).astype(np.int32))], names=["h", "doc_id", "rk", "chunk"])
+            rows = pa.array(np.concatenate(of))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(idx).astype(np.int32))], names=["h", "doc_id", "rk", "chunk"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,19 +114,18 @@ def _body(parts: list[bytes]) -> bytes:
 
 def removed_lines(parts: list[bytes], matches: list[dict], min_words: int) -> np.ndarray:
     """Which lines go. matches: chunk, body, left, right of the first places of the text's repeated chunks."""
-    hashes = line_hashes(parts)
-    begins, _ = chunks(hashes)
-    stops = np.append(begins[1:], len(parts))
-    gone = np.zeros(len(parts), bool)
+    found = line_hashes(parts)
+    begins = chunks(found)[0].tolist()
+    stops, hashes, gone = [*begins[1:], len(parts)], found.tolist(), np.zeros(len(parts), bool)
     for m in matches:
-        x, y = int(begins[m["chunk"]]), int(stops[m["chunk"]])
+        x, y = begins[m["chunk"]], stops[m["chunk"]]
         if _body(parts[x:y]) != m["body"]:
             continue
-        for one in np.frombuffer(m["left"], np.uint64):
+        for one in memoryview(m["left"]).cast("Q"):
             if x == 0 or hashes[x - 1] != one:
                 break
             x -= 1
-        for one in np.frombuffer(m["right"], np.uint64):
+        for one in memoryview(m["right"]).cast("Q"):
             if y == len(parts) or hashes[y] != one:
                 break
             y += 1
