@@ -15,9 +15,15 @@ within two bits, so each is linked to the least one of the point. Both ways are
 
 Only distinct fingerprints are linked, so exact copies are never expanded into pairs.
 
-``keep_one`` also links texts with ``similarity`` of their five-word shingles in common: besides the whole text's
-fingerprint, the fingerprints of its sections are looked up, and what they meet is compared by a sketch of its shingles
-(exact up to ``SKETCH`` distinct shingles, beyond that within a few hundredths).
+``keep_one`` also links texts with ``similarity`` of their five-word shingles in common. Candidates come from prefixes:
+in any order of all shingles, two such texts share one of their first n - ceil(similarity n) + 1 (``prefix``), so none is
+lost, whatever their length. The order is by hash, with shingles common among prefixes last; texts that share a passage
+only meet there if little else is in them. What meets is compared on the whole sets of shingle hashes. Shingles that more
+than ``crowd`` texts hold even so bind these to cohorts: each text is compared with the most typical one of its cohort,
+and where that leaves several components, all pairs of different components are compared in blocks of ``BLOCK`` texts.
+
+Bounds: common shingles are broadcast (eight bytes each; at most the prefixes' length over ``crowd``). A cohort that
+doesn't fall to one component costs (its texts)^2 / BLOCK rows: that is the price of comparing all of it.
 
 Defined results. Null, empty and blank texts: fingerprint 0, linked like any other. Fewer words than a shingle: one
 shingle of all words. Repeated rows and equal ids: a result each. A component whose ids are all null has a null
@@ -26,6 +32,7 @@ component_id. Empty table: empty result. Other columns are kept by ``keep_one``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +47,8 @@ HALF = 32
 #: At most this many distinct fingerprints of a key are paired; larger ones are linked through shared points.
 CROWD = 16
 _SLICE = 65_536
-#: Mean shingles of a section, the sections of a text that are looked up, hashes of a text that are compared.
-SECTION, SECTIONS, SKETCH = 24, 8, 256
+#: Texts of a cohort that are compared with each other in one go, and columns of their shingles at a time.
+BLOCK, COLUMNS = 256, 8192
 
 
 def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
@@ -154,53 +161,59 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, **cols) -> DataFrame:
 
 
 
+def prefix(distinct: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+    """The least shingle hashes of a set (sorted), those in ``common`` last: as many as a similar set must share one of."""
+    if common is not None:
+        often = np.isin(distinct, common, assume_unique=True)
+        distinct = np.concatenate((distinct[~often], distinct[often]))
+    return distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]
 
-def sections(h: np.ndarray) -> list[int]:
-    """Signed fingerprints of the sections of a text, given its shingles' hashes in order: the ``SECTIONS`` smallest.
 
-    A section ends at every shingle whose hash is a multiple of ``SECTION``, so sections between two edits are equal.
-    """
-    if not len(h):
-        return []
-    begins = np.concatenate(([0], np.flatnonzero(h[:-1] % np.uint64(SECTION) == 0) + 1))
-    size = np.diff(np.append(begins, len(h)))
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-    return np.unique(np.packbits(2 * ones > size[:, None], axis=1).view(">i8").astype(np.int64))[:SECTIONS].tolist()
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of hashes."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def sketch(distinct: np.ndarray) -> bytes:
-    """The ``SKETCH`` least upper halves of a set of hashes (sorted): all of them for most texts."""
-    return np.unique(distinct >> np.uint64(32)).astype(np.uint32)[:SKETCH].tobytes()
+def distinct_shingles(text: bytes | None, k: int) -> np.ndarray:
+    return np.unique(np.concatenate([*shingle_hashes(text or b"", k), np.zeros(0, np.uint64)]))
 
 
-def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sketched sets: exact if both are whole, else over the least ``SKETCH`` of their union."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    union = np.union1d(x, y)
-    if max(len(x), len(y)) == SKETCH:
-        union = union[:SKETCH]
-    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+def _signed(sets: list[np.ndarray]) -> pa.Array:
+    bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def _profiler(k: int):
+def _profiler(k: int, similarity: float):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 128):
-            fps, counts, parts, sketches = [], [], [], []
-            for t in b.column(2).cast(pa.binary()).to_pylist():
-                h = np.concatenate([*shingle_hashes(t or b"", k), np.zeros(0, np.uint64)])
-                distinct = np.unique(h)
-                fps.append(majority([distinct]))
-                counts.append(len(distinct))
-                parts.append(sections(h))
-                sketches.append(sketch(distinct))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(counts, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "key", "fp", "n", "sections", "sketch"])
+            sets = [distinct_shingles(t, k) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([majority([x]) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _signed([prefix(x, similarity) for x in sets])], names=["doc_id", "key", "fp", "n", "keys"])
 
     return profile
 
 
+def _reorderer(k: int, similarity: float, shared):
+    """fp, text -> fp, n, keys and the share of common shingles."""
+
+    def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 128):
+            sets = [distinct_shingles(t, k) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            share = [float(np.isin(x, shared.value, assume_unique=True).mean()) if len(x) else 0.0 for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), _signed([prefix(x, similarity, shared.value) for x in sets]), pa.array(share, pa.float64())], names=["fp", "n", "keys", "typical"])
+
+    return reorder
+
+
+def _setter(k: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 128):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([distinct_shingles(t, k).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["fp", "shingles"])
+
+    return sets
+
+
 def _verifier(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -210,41 +223,106 @@ def _verifier(similarity: float):
     return verify
 
 
-def similar_pairs(profiles: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """a, b: fingerprints (column fp, distinct) of texts that share a section and are verified as similar.
+def block_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of all pairs of sets that are similar."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, some = np.repeat(np.arange(len(sets)), sizes), held > 1
+    place = np.cumsum(some) - 1
+    row, column = row[some[column]], place[column[some[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column, both = row[order], column[order], np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(some.sum()), COLUMNS):
+        x, y = np.searchsorted(column, (c, c + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[x:y], column[x:y] - c] = 1
+        both += part @ part.T
+    return np.nonzero(np.triu(both >= similarity * (sizes[:, None] + sizes - both) - 1e-6, 1))
+
+
+def _blocks(similarity: float):
+    def compare(group: pa.Table) -> pa.Table:
+        fp, root = group["fp"].to_numpy(), group["root"].to_numpy()
+        i, j = block_pairs([np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()], similarity)
+        a, b = fp[i], fp[j]
+        apart = root[i] != root[j]
+        return pa.table({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return compare
 
-    Sections are looked up in their table as they are. Holders of a section with nearly as many shingles (a factor of
-    ``similarity`` is less than two steps) are each compared with the least fingerprint among them: a row a holder, however
-    common the section. Texts above the similarity share several of their sections.
+
+def similar_pairs(profiles: DataFrame, texts, links: DataFrame, *, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """``links`` (a, b) and more of them, which connect all fingerprints whose texts are similar.
+
+    profiles: fp (distinct), n and keys (the prefix); texts: from a table of fp to their fp and text.
     """
-    small_batches(profiles.sparkSession)
-    step = F.when(F.col("n") > 0, F.floor(F.log("n") / F.log(F.lit(1 / similarity))).cast("int")).otherwise(-1)
-    held = profiles.select("fp", F.explode("sections").alias("section"), step.alias("step")).select("fp", "section", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
-    least = durable(held.groupBy("section", "step").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("section", "step", "a"), "sections")
-    pairs = durable(held.join(least, ["section", "step"]).where("a < fp").select("a", F.col("fp").alias("b")).distinct(), "candidates")
-    one = lambda c: profiles.select(F.col("fp").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c))
-    near = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
-    both = durable(pairs.join(one("b"), "b"), "half").join(one("a"), "a").where(near).select("a", "b", "sa", "sb")
-    return both.mapInArrow(_verifier(similarity), "a long, b long")
+    spark = profiles.sparkSession
+    small_batches(spark)
+    profiles = durable(profiles.withColumn("typical", F.lit(0.0)), "profiles")
+    held = lambda: profiles.select("fp", F.explode("keys").alias("key"))
+    shared = lambda h: durable(h.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
+    counts = shared(held())
+    crowded = counts.where(F.col("m") > crowd).select("key")
+    common = np.sort(crowded.toArrow()["key"].to_numpy().view(np.uint64))
+    if len(common):
+        # Texts with a common shingle in their prefix get one in which these come last; the others' stay as they are.
+        touched = durable(held().join(F.broadcast(crowded), "key", "left_semi").select("fp").distinct(), "touched")
+        again = texts(touched).mapInArrow(_reorderer(shingle, similarity, spark.sparkContext.broadcast(common)), "fp long, n long, keys array<long>, typical double")
+        profiles = durable(profiles.select("fp", "n", "keys", "typical").join(touched, "fp", "left_anti").unionAll(again), "profiles")
+        counts = shared(held())
+    meeting = durable(held().join(counts, "key").select("key", "fp", "m"), "meeting")
+    few, many = meeting.where(F.col("m") <= crowd), meeting.where(F.col("m") > crowd).select("key", "fp")
+    met = few.alias("x").join(few.alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.fp") < F.col("y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+    size = lambda c: profiles.select(F.col("fp").alias(c), F.col("n").alias("n" + c))
+    pairs = durable(met.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b"), "candidates")
+    wanted = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).unionAll(many.select("fp")).distinct()
+    sets = durable(texts(durable(wanted, "wanted")).mapInArrow(_setter(shingle), "fp long, shingles binary"), "sets")
+    one = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias("s" + c))
+    verified = lambda p: durable(p.join(one("b"), "b").join(one("a"), "a").select("a", "b", "sa", "sb").mapInArrow(_verifier(similarity), "a long, b long"), "similar")
+    links = links.unionAll(verified(pairs))
+    if not many.take(1):
+        return links
+    least = durable(many.groupBy("key").agg(F.min("fp").alias("a")), "least")
+    ties = components(many.join(least, "key").where("a < fp").select("a", F.col("fp").alias("b")).distinct())
+    members = profiles.select("fp", "typical").join(many.select("fp").distinct(), "fp", "left_semi")
+    cohorts = durable(members.join(ties.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "typical", F.coalesce("root", "fp").alias("cohort")), "cohorts")
+    lead = durable(cohorts.groupBy("cohort").agg(F.max_by("fp", F.struct("typical", "fp")).alias("lead")), "leads")
+    star = cohorts.join(lead, "cohort").where("fp <> lead").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))
+    links = links.unionAll(verified(star))
+    roots = components(links).withColumnRenamed("node", "fp")
+    rooted = durable(cohorts.join(roots, "fp", "left").select("fp", "cohort", F.coalesce("root", "fp").alias("root")), "rooted")
+    mixed = rooted.groupBy("cohort").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    # Half a block each from two parts of a cohort: every pair of its texts meets in one task at least.
+    parts = F.ceil(F.col("m") / F.lit(BLOCK // 2)).cast("int")
+    laid = durable(rooted.join(mixed.select("cohort", parts.alias("parts")), "cohort").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).join(sets, "fp"), "laid")
+    other = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = other.select("cohort", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp", "root", "shingles")
+    rest = met.groupBy("cohort", "i", "j").applyInArrow(_blocks(similarity), "a long, b long")
+    return links.unionAll(durable(rest, "rest"))
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the least id (then digest) stays.
 
-    Linked are texts whose fingerprints (of distinct shingles) are within two bits, and texts that share a section's
-    fingerprint and have ``similarity`` of their shingles in common: a few edited words change ten bits and more of a
-    whole text's fingerprint at that similarity, but leave most sections as they were.
+    Linked are texts whose fingerprints (of distinct shingles) are within two bits, and texts that have ``similarity`` of
+    their shingles in common.
     """
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), source_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    prints = durable(read.mapInArrow(_profiler(shingle), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, fp long, n long, sections array<long>, sketch binary"), "prints")
+    prints = durable(read.mapInArrow(_profiler(shingle, similarity), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, fp long, n long, keys array<long>"), "prints")
     # nulls last, then by digest; n_rows counts rows that are equal in both
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = durable(prints.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n_rows")).groupBy("fp").agg(F.min_by(F.struct("doc_id", "key", "n_rows"), rank).alias("best")).select("fp", "best.*"), "best")
     named = best.select(F.col("fp").alias("f"), F.col("doc_id").alias("i"), F.col("key").alias("k"))
     of_best = prints.join(named, (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi")
-    profiles = durable(of_best.select("fp", "n", "sections", "sketch"), "profiles")
-    links = durable(close_pairs(best.select("fp")), "links").unionAll(durable(similar_pairs(profiles, similarity), "similar"))
+    profiles = of_best.select("fp", "n", "keys").dropDuplicates(["fp"])
+
+    def texts(fps: DataFrame) -> DataFrame:
+        of = named.join(fps, F.col("f") == F.col("fp")).select("f", "i", "k")
+        found = read.join(of, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+        return found.groupBy(F.col("f").alias("fp")).agg(F.first("text").alias("text"))
+
+    links = similar_pairs(profiles, texts, durable(close_pairs(best.select("fp")), "links"), shingle=shingle, similarity=similarity)
     roots = components(links).withColumnRenamed("node", "fp")
     tied = durable(best.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "key", "n_rows"), "tied")
     kept = durable(tied.groupBy("root").agg(F.min_by(F.struct("doc_id", "key", "n_rows"), rank).alias("best")).select("best.*"), "kept")

@@ -519,3 +519,38 @@ def test_passages_of_any_form(docs_of, prose, marks, apart):
     assert sum(n > 1 for n in seen.values()) <= most * sum(len(p.split()) - 49 for p in passages)
     for k, t in enumerate(texts):
         assert left[k][0].split()[:36] == t.split()[:36] and left[k][0].split()[-36:] == t.split()[-36:]
+
+
+def _kept(docs):
+    return {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+
+
+def _shingle_sets(texts):
+    return [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+
+
+def test_keep_one_large_group_of_edited_copies(docs_of):
+    """Copies with one word replaced are all similar to the base, but few of them to each other; the base comes last."""
+    r = random.Random(21)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    copies = [" ".join([*base[:at], f"x{k}", *base[at + 1 :]]) for k in range(300) for at in [r.randrange(60)]]
+    assert len(_kept(docs_of([*copies, " ".join(base)]))) == 1
+
+
+def test_keep_one_without_a_typical_text(docs_of):
+    """Chains of copies among many texts that share most words: whatever is similar is joined, all else stays."""
+    r = random.Random(22)
+    passage = [f"p{k}" for k in range(50)]
+    own = lambda: [f"o{r.randrange(10**9)}" for _ in range(12)]
+    texts = [" ".join(passage + own()) for _ in range(150)]
+    texts += [" ".join([*t.split()[:60], "u", "v"]) for t in texts[:20]]
+    sets = _shingle_sets(texts)
+    prints = [simhash.majority([simhash.distinct_shingles(t.encode(), 5)]) & (1 << 64) - 1 for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert 140 < len(set(root)) <= 150
+    assert _kept(docs_of(texts)) == set(root)
