@@ -554,3 +554,10 @@ def test_keep_one_without_a_typical_text(docs_of):
                 root = [min(a, b) if x in (a, b) else x for x in root]
     assert 140 < len(set(root)) <= 150
     assert _kept(docs_of(texts)) == set(root)
+
+
+def test_keep_one_short_copies(docs_of):
+    """Texts of 20 to 45 words and copies with one more word: no copy stays."""
+    r = random.Random(23)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in (20, 25, 30, 45) for _ in range(20)]
+    assert _kept(docs_of(texts + [t + " more" for t in texts])) == set(range(len(texts)))
