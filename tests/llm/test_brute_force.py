@@ -561,3 +561,17 @@ def test_keep_one_short_copies(docs_of):
     r = random.Random(23)
     texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in (20, 25, 30, 45) for _ in range(20)]
     assert _kept(docs_of(texts + [t + " more" for t in texts])) == set(range(len(texts)))
+
+
+def test_keep_one_long_texts_near_the_limit(docs_of):
+    """1,200 words, similarity 0.78 to 0.82: joined if it is 0.8 by all shingles."""
+    r = random.Random(24)
+    texts = []
+    for k in range(30):
+        base = [f"w{r.randrange(10**6)}" for _ in range(1200)]
+        edits = r.sample(range(10, 1190, 12), 25 + k % 6)
+        texts += [" ".join(base), " ".join(f"x{k}_{i}" if i in edits else w for i, w in enumerate(base))]
+    sets = _shingle_sets(texts)
+    near = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.8 <= x for x in near) > 5 and sum(x < 0.8 for x in near) > 5
+    assert _kept(docs_of(texts)) == {2 * k for k in range(30)} | {2 * k + 1 for k in range(30) if near[k] < 0.8}
