@@ -1,15 +1,15 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by anchors: runs of words that are looked up in all texts.
 
-A line is a physical line or a clause of one (lines are cut after ". " and ", "), so passages inside long lines count too. A
-rolling hash over the hashes of two neighbouring lines ends a chunk at every other line on average: boundaries depend on
-the lines beside them only, so insertions elsewhere don't move them. A chunk whose hash stands in more than one place is
-a candidate. Its first place (least id, then position) keeps it; at each other place its bytes are compared with the
-first one's, and the match grows over the lines beside it while they are the same there (``MARGIN`` line hashes on
-either side; whatever lies further belongs to another chunk). Runs of matched lines are removed if they hold ``min_words``
-words at least, in two lines or in one of ``LONE`` words, so a lone common line stays.
+Of every ``WINDOW`` successive runs of ``RUN`` words the one with the least hash is an anchor (winnowing), so two places
+that have RUN + WINDOW - 1 = 25 words in common have an anchor in common too, whatever stands around them and wherever
+lines end. An anchor whose hash stands in more than one place is a candidate. Its first place (least id, then position)
+stays; at each other place its words are compared with the first one's, byte by byte, and the match grows over the words
+beside it while they are the same there (by 32-bit hash, ``MARGIN`` words on either side; whatever lies further has an
+anchor of its own). Of runs of ``min_words`` matched words at least, in two lines or ``LONE`` words, the lines that lie in them whole are
+removed, so a lone common line stays. A line is a physical line or a clause of one (lines are cut after ". " and ", ").
 
-Shuffles: one row a chunk (hash, id, place), counted with partial sums, and the compressed texts twice: to fetch the
-first places' bytes and to rebuild. Rows of one hot chunk are joined to a single row of it.
+Shuffles: one row an anchor (hash, id, place), counted with partial sums, and the compressed texts twice: to fetch the
+first places' bytes and to rebuild. Rows of one hot anchor are joined to a single row of it.
 
 Defined results. Null text stays null. Blank texts are kept. Rows equal in id and text are one document: each keeps what
 the other keeps. Null ids count as the least id. Empty table: empty result. Other columns are kept as they are.
@@ -28,14 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import durable, sliced, small_batches, spare
 
-MARGIN, MOST_LINES, LONE = 4, 16, 50
+RUN, WINDOW, LONE = 10, 16, 50
+#: Words beside an anchor that are compared: what is the same further off has an anchor of its own.
+MARGIN = WINDOW
+#: Words from an anchor to the next or to the end, at most.
+MOST_LINES = RUN + WINDOW
 #: Longer lines (bytes) are cut after words that end in e or n too: that depends on the words alone.
 LONG = 160
 #: What ends a line.
 _ENDS = (b"\n", b". ", b", ")
-_BLANK = np.uint64(xxhash.xxh3_64_intdigest(b""))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_PLACE = np.cumprod(np.full(MOST_LINES, 0xD6E8FEB86659FD93, np.uint64))
+_PLACE = np.cumprod(np.full(RUN, 0xD6E8FEB86659FD93, np.uint64))
 
 
 def lines(text: bytes) -> list[bytes]:
@@ -52,19 +55,40 @@ def line_hashes(parts: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(p.strip()) for p in parts], np.uint64)
 
 
+def _short(words: list[bytes]) -> np.ndarray:
+    return (line_hashes(words) >> np.uint64(32)).astype(np.uint32)
+
+
 def chunks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where chunks begin, and their hashes."""
-    roll = h * _ODD
-    roll[1:] ^= h[:-1] >> np.uint64(7)
-    roll *= _ODD
-    ends = (roll >> np.uint64(40)) & np.uint64(1) == 1
-    begins = np.concatenate(([0], np.flatnonzero(ends[:-1]) + 1))
-    if len(h) > MOST_LINES:  # runs without a boundary are cut, from their own beginning
-        sizes = np.diff(np.append(begins, len(h)))
-        if sizes.max() > MOST_LINES:
-            begins = np.concatenate([np.arange(b, b + n, MOST_LINES) for b, n in zip(begins, sizes, strict=True)])
-    place = np.arange(len(h)) - np.repeat(begins, np.diff(np.append(begins, len(h))))
-    return begins, np.add.reduceat((h ^ (h >> np.uint64(31))) * _PLACE[place], begins)
+    """Where the anchors of words with these hashes begin, and the anchors' hashes."""
+    run = min(RUN, len(h))
+    n = len(h) - run + 1
+    if not len(h):
+        return np.zeros(0, np.int64), h
+    h, grams = h ^ (h >> np.uint64(31)), np.zeros(n, np.uint64)
+    for k in range(run):
+        grams += h[k : k + n] * _PLACE[k]
+    grams = (grams ^ (grams >> np.uint64(32))) * _ODD
+    least = _slide(grams, min(WINDOW, n), np.minimum)
+    # An anchor is the least of some window: of the windows that hold it, the greatest minimum is its own hash.
+    pad = np.zeros(min(WINDOW, n) - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate((pad, least, pad)), min(WINDOW, n), np.maximum) == grams)
+    if (grams[at][1:] == grams[at][:-1]).any():  # equal runs in one window: one in WINDOW is enough
+        kept = [at[0]]
+        for p in at[1:].tolist():
+            if grams[p] != grams[kept[-1]] or p - kept[-1] >= WINDOW:
+                kept.append(p)
+        at = np.array(kept)
+    return at, grams[at]
+
+
+def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
+    """best of every ``width`` successive values."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x, done = best(x[:-step], x[step:]), done + step
+    return x
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,12 +97,10 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
             if not text:
                 continue
-            hashes = line_hashes(lines(text))
-            begins, h = chunks(hashes)
-            some = np.flatnonzero(np.add.reduceat(hashes != _BLANK, begins))  # chunks of blank lines are none
-            hs.append(h[some])
-            idx.append(some)
-            of.append(np.full(len(some), row))
+            at, h = chunks(line_hashes(text.split()))
+            hs.append(h)
+            idx.append(at)
+            of.append(np.full(len(at), row))
         if hs:
             rows = pa.array(np.concatenate(of))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(idx).astype(np.int32))], names=["h", "doc_id", "rk", "chunk"])
@@ -92,49 +114,51 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, rk, packed, places (chunk, h) -> h, the place, body, left and right (line hashes beside it, nearest first)."""
+    """doc_id, rk, packed, places (chunk, h) -> h, the place, body, left and right (hashes of the words beside it, nearest first)."""
     unpack = zstandard.ZstdDecompressor().decompress
     for b in sliced(batches):
         kinds, out = (pa.int64(), b.column(0).type, pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), []
         for doc_id, rk, packed, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            parts = lines(unpack(packed))
-            hashes = line_hashes(parts)
-            begins, _ = chunks(hashes)
-            stops = np.append(begins[1:], len(parts))
+            words = unpack(packed).split()
+            hashes = _short(words)
             for p in places:
-                x, y = begins[p["chunk"]], stops[p["chunk"]]
-                out.append((p["h"], doc_id, rk, p["chunk"], _body(parts[x:y]), hashes[max(0, x - MARGIN) : x][::-1].tobytes(), hashes[y : y + MARGIN].tobytes()))
+                x = p["chunk"]
+                y = x + RUN
+                out.append((p["h"], doc_id, rk, x, b" ".join(words[x:y]), hashes[max(0, x - MARGIN) : x][::-1].tobytes(), hashes[y : y + MARGIN].tobytes()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "first_id", "first_rk", "first_chunk", "body", "left", "right"])
 
 
-def _body(parts: list[bytes]) -> bytes:
-    return b"\n".join(p.strip() for p in parts)
-
-
 def removed_lines(parts: list[bytes], matches: list[dict], min_words: int) -> np.ndarray:
-    """Which lines go. matches: chunk, body, left, right of the first places of the text's repeated chunks."""
-    found = line_hashes(parts)
-    begins = chunks(found)[0].tolist()
-    stops, hashes, gone = [*begins[1:], len(parts)], found.tolist(), np.zeros(len(parts), bool)
+    """Which lines go. matches: chunk, body, left, right of the first places of the text's repeated anchors."""
+    split = [p.split() for p in parts]
+    words, ends = [w for p in split for w in p], np.cumsum([len(p) for p in split])
+    hashes = _short(words).tolist()
+    same, gone = np.zeros(len(words), bool), np.zeros(len(parts), bool)
     for m in matches:
-        x, y = begins[m["chunk"]], stops[m["chunk"]]
-        if _body(parts[x:y]) != m["body"]:
+        x, body = m["chunk"], m["body"].split()
+        y = x + len(body)
+        if words[x:y] != body:
             continue
-        for one in memoryview(m["left"]).cast("Q"):
+        for one in memoryview(m["left"]).cast("I"):
             if x == 0 or hashes[x - 1] != one:
                 break
             x -= 1
-        for one in memoryview(m["right"]).cast("Q"):
-            if y == len(parts) or hashes[y] != one:
+        for one in memoryview(m["right"]).cast("I"):
+            if y == len(words) or hashes[y] != one:
                 break
             y += 1
-        gone[x:y] = True
-    for x, y in np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2):
-        full = [p for p in parts[x:y] if p.strip()]
-        words = sum(len(p.split()) for p in full)
-        if words < min_words or len(full) < 2 and words < LONE:
-            gone[x:y] = False
+        same[x:y] = True
+    begins = ends - np.array([len(p) for p in split])
+    for x, y in np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0])))).reshape(-1, 2):
+        if y - x < min_words or y - x < LONE and np.searchsorted(ends, x, "right") == np.searchsorted(ends, y - 1, "right"):
+            continue
+        gone |= (begins >= x) & (ends <= y) & (begins < ends)
+    # Blank lines go where the lines on both sides do.
+    filled = np.flatnonzero(begins < ends)
+    for i, j in zip(filled[:-1].tolist(), filled[1:].tolist(), strict=True):
+        if gone[i] and gone[j]:
+            gone[i:j] = True
     return gone
 
 

@@ -575,3 +575,20 @@ def test_keep_one_long_texts_near_the_limit(docs_of):
     near = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
     assert sum(0.8 <= x for x in near) > 5 and sum(x < 0.8 for x in near) > 5
     assert _kept(docs_of(texts)) == {2 * k for k in range(30)} | {2 * k + 1 for k in range(30) if near[k] < 0.8}
+
+
+def test_passages_of_50_words_are_found(docs_of):
+    """Sentences of 10 to 25 words without commas, two documents a passage, at any place of a line: part of each is cut."""
+    r = random.Random(25)
+    sentence = lambda lo, hi: " ".join(f"w{r.randrange(10**5)}" for _ in range(r.randint(lo, hi))) + "."
+    texts, parts = [], []
+    for lo, hi in ((10, 12), (12, 18), (18, 22), (22, 25)):
+        for _ in range(40):
+            part = ""
+            while len(part.split()) < 50:
+                part += sentence(lo, hi) + " "
+            parts.append(part.strip())
+            texts += [f"{sentence(lo, hi)} {sentence(lo, hi)} {parts[-1]} {sentence(lo, hi)}" for _ in range(2)]
+    got = by_id(line_dedup.dedup_lines(docs_of(texts)), "new_text")
+    assert all(got[2 * k][0] == texts[2 * k] for k in range(len(parts)))
+    assert all(len(got[2 * k + 1][0].split()) <= len(texts[2 * k + 1].split()) - 50 for k in range(len(parts)))
