@@ -4,8 +4,7 @@ the two tokens on either side; the sum of the log-probabilities scores a documen
 Vocabulary: words (A-Z lower-cased, split at blanks) are counted over all documents; the most frequent get a token each, the rest share
 ``RARE`` hashed tokens. Network: a token's four neighbours add their position's embeddings, tanh, then a softmax over
 classes of tokens and one over the tokens of the class. Training: in each round every partition starts from the same
-parameters and goes through all its documents, using every ``STRIDE``-th position from an offset that the text's hash
-gives, with Adagrad; the parameters are then averaged by positions seen. All documents take part, whatever the size.
+parameters and goes through every position of all its documents, in slices of ``SLICE``, with Adagrad; the parameters are then averaged by positions seen. All documents take part, whatever the size.
 
 Bounds: the driver and workers hold one set of parameters (about 84,000). What leaves a partition is one row a parameter
 and the counts of its distinct words, in runs of ``FLUSH``.
@@ -29,7 +28,7 @@ from .common import LOWER_BYTES, durable, frequent, sliced, small_batches
 
 CLASSES, MEMBERS, RARE, HIDDEN, SIDE = 32, 32, 64, 16, 2
 TOKENS, PAD = CLASSES * MEMBERS, CLASSES * MEMBERS
-STRIDE, ROUNDS, RATE, BATCH, FLUSH, SLICE = 8, 2, 0.1, 8192, 200_000, 1 << 16
+ROUNDS, RATE, BATCH, FLUSH, SLICE = 2, 0.1, 8192, 200_000, 1 << 16
 _SHAPES = [(2 * SIDE, TOKENS + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, MEMBERS), (CLASSES, MEMBERS)]
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
 
@@ -146,12 +145,12 @@ def _trainer(shared):
         for b in sliced(batches):
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 ids = tokens(text, vocab)
-                at = np.arange(zlib.crc32(text or b"") % STRIDE, len(ids), STRIDE)
-                if len(at):
+                for i in range(0, len(ids), SLICE):
+                    at = np.arange(i, min(len(ids), i + SLICE))
                     held.append((windows(ids, at), ids[at]))
                     size += len(at)
-                if size >= BATCH:
-                    seen, size = seen + step(), 0
+                    if size >= BATCH:
+                        seen, size = seen + step(), 0
         if held:
             seen += step()
         if seen:

@@ -592,3 +592,15 @@ def test_passages_of_50_words_are_found(docs_of):
     got = by_id(line_dedup.dedup_lines(docs_of(texts)), "new_text")
     assert all(got[2 * k][0] == texts[2 * k] for k in range(len(parts)))
     assert all(len(got[2 * k + 1][0].split()) <= len(texts[2 * k + 1].split()) - 50 for k in range(len(parts)))
+
+
+def test_training_sees_every_position(docs_of, prose, monkeypatch):
+    """Also of texts of a few words, and of long ones in slices."""
+    monkeypatch.setattr(pseudo_likelihood, "SLICE", 50)
+    texts = [prose(n, n) for n in (1, 2, 3, 7, 300)]
+
+    class Shared:
+        value = {}, pseudo_likelihood.start()
+
+    batch = docs_of(texts).select("text").toArrow().to_batches()
+    assert sum(b["weight"][0].as_py() for b in pseudo_likelihood._trainer(Shared)(iter(batch))) == sum(len(x.split()) for x in texts)
