@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from functools import cache
 
 import pyarrow as pa
@@ -35,20 +38,68 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a temporary one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a local session gets a temporary folder (tests); any other session must set it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@cache
+def scratch_dir(spark: SparkSession, application: str) -> str:
+    """Folder of the application's intermediate tables; what is left of it goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/slantstack-{application}"
+
+    def end() -> None:
+        with suppress(Exception):  # the JVM may be gone
+            _delete(spark, path)
+
+    atexit.register(end)
+    return path
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession):
+    """Shuffle files of the queries run here go as soon as these end: their results are in the shared folder."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+def durable(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost nothing.
 
-    A table read back also has no partitioning of its own, so joins on it get an exchange that adaptive
-    execution can split where one key is hot.
+    ``spent``: durable tables that nothing reads any more; they are deleted once ``df`` is written. A table read back
+    also has no partitioning of its own, so joins on it get an exchange that adaptive execution can split where one key is hot.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/slantstack/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{scratch_dir(spark, spark.sparkContext.applicationId)}/{label}-{uuid.uuid4().hex}"
+    with _shuffles_deleted(spark):
+        df.write.parquet(path)
+    discard(*spent)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*spent: DataFrame) -> None:
+    """Delete durable tables."""
+    for df in spent:
+        _delete(df.sparkSession, df.scratch)
 
 
 def small_batches(spark: SparkSession) -> None:

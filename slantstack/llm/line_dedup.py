@@ -1,23 +1,30 @@
-"""Line dedup by anchors: runs of words that are looked up in all texts.
+"""Line dedup by content-defined chunks of lines that are looked up in all texts.
 
-Of every ``WINDOW`` successive runs of ``RUN`` words the one with the least hash is an anchor (winnowing), so two places
-that have RUN + WINDOW - 1 = 25 words in common have an anchor in common too, whatever stands around them and wherever
-lines end. An anchor whose hash stands in more than one place is a candidate. Its first place (least id, then position)
-stays; at each other place its words are compared with the first one's, byte by byte, and the match grows over the words
-beside it while they are the same there (by 32-bit hash, ``MARGIN`` words on either side; whatever lies further has an
-anchor of its own). Of runs of ``min_words`` matched words at least, in two lines or ``LONE`` words, the lines that lie in them whole are
-removed, so a lone common line stays. A line is a physical line or a clause of one (lines are cut after ". " and ", ").
+Lines: a text is cut at line ends and, inside these, behind every word that ends in a mark (``MARKS``) or whose hash is the
+least of some ``CUT`` successive ones. That depends on the words alone, in any script, and no line has more than ``CUT`` words. Chunks: ``LINES``
+successive lines; a rolling hash runs over the line hashes, and where it is the least of some ``WINDOW`` successive ones
+a chunk begins (winnowing). Inside a passage the same chunks are found whatever stands around it: two places that
+have ``CUT * (LINES + WINDOW - 1) + 2 * (CUT - 1)`` = 49 words in common share a chunk at least, and most that have 25 do.
 
-Shuffles: one row an anchor (hash, id, place), counted with partial sums, and the compressed texts twice: to fetch the
-first places' bytes and to rebuild. Rows of one hot anchor are joined to a single row of it.
+A chunk whose hash stands in more than one place is a candidate. Its first place (least id, then position) stays. The
+chunks of a text whose first places lie in one document at the same shift are joined to a span, with ``MARGIN`` words on either
+side; the bytes of the first document's span are fetched, and every word is compared with them. Of runs of equal words,
+``min_words`` at least, that reach over a line end of the text or have ``LONE`` words, the lines that lie in them whole
+are removed. So a lone common line stays, and a removed word always has its equal at an earlier place.
+
+Shuffles: a row a chunk (hash, id, place), counted with partial sums; the compressed texts twice, to fetch spans and to
+rebuild. Rows of a hot chunk are joined to a single row of it; spans of a hot first document meet a single text.
+Every intermediate table is deleted once the next is written.
 
 Defined results. Null text stays null. Blank texts are kept. Rows equal in id and text are one document: each keeps what
-the other keeps. Null ids count as the least id. Empty table: empty result. Other columns are kept as they are.
+the other keeps. Null ids count as the least id. Very long texts are read whole, their words hashed in blocks of ``BLOCK``
+bytes. Empty table: empty result. Other columns are kept as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,61 +32,103 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import durable, sliced, small_batches, spare
 
-RUN, WINDOW, LONE = 10, 16, 50
-#: Words beside an anchor that are compared: what is the same further off has an anchor of its own.
-MARGIN = WINDOW
-#: Words from an anchor to the next or to the end, at most.
-MOST_LINES = RUN + WINDOW
-#: Longer lines (bytes) are cut after words that end in e or n too: that depends on the words alone.
-LONG = 160
-#: What ends a line.
-_ENDS = (b"\n", b". ", b", ")
+CUT, LINES, WINDOW, LONE = 3, 4, 12, 40
+#: Words on either side of a span's chunks: what is the same further off has a chunk of its own.
+MARGIN = CUT * (WINDOW + 1)
+#: Chunks further apart (words) or longer spans are spans of their own.
+GAP, SPAN = CUT * (LINES + WINDOW), 8192
+#: Bytes hashed at a time, and the longest word hashed with others.
+BLOCK, WORD = 1 << 20, 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_PLACE = np.cumprod(np.full(RUN, 0xD6E8FEB86659FD93, np.uint64))
-
-
-def lines(text: bytes) -> list[bytes]:
-    """Concatenated they are the text (0xFF is in no UTF-8 text)."""
-    for end in _ENDS:
-        text = text.replace(end, end + b"\xff")
-    parts = text.split(b"\xff")
-    if max(map(len, parts)) <= LONG:
-        return parts
-    return [q for p in parts for q in (p.replace(b"e ", b"e \xff").replace(b"n ", b"n \xff").split(b"\xff") if len(p) > LONG else (p,))]
-
-
-def line_hashes(parts: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(p.strip()) for p in parts], np.uint64)
-
-
-def _short(words: list[bytes]) -> np.ndarray:
-    return (line_hashes(words) >> np.uint64(32)).astype(np.uint32)
-
-
-def chunks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the anchors of words with these hashes begin, and the anchors' hashes."""
-    run = min(RUN, len(h))
-    n = len(h) - run + 1
-    if not len(h):
-        return np.zeros(0, np.int64), h
-    h, grams = h ^ (h >> np.uint64(31)), np.zeros(n, np.uint64)
-    for k in range(run):
-        grams += h[k : k + n] * _PLACE[k]
-    grams = (grams ^ (grams >> np.uint64(32))) * _ODD
-    least = _slide(grams, min(WINDOW, n), np.minimum)
-    # An anchor is the least of some window: of the windows that hold it, the greatest minimum is its own hash.
-    pad = np.zeros(min(WINDOW, n) - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate((pad, least, pad)), min(WINDOW, n), np.maximum) == grams)
-    if (grams[at][1:] == grams[at][:-1]).any():  # equal runs in one window: one in WINDOW is enough
-        kept = [at[0]]
-        for p in at[1:].tolist():
-            if grams[p] != grams[kept[-1]] or p - kept[-1] >= WINDOW:
-                kept.append(p)
-        at = np.array(kept)
-    return at, grams[at]
+_STEP = 0xD6E8FEB86659FD93
+#: Marks that end a clause; behind a word that ends so a line ends.
+MARKS = b".,;:!?"
+_MARK = np.isin(np.arange(256), list(MARKS))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_MOST = np.uint64(2**64 - 1)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+
+
+_UP, _DOWN = _powers(_STEP, BLOCK), _powers(pow(_STEP, -1, 2**64), BLOCK)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    return h ^ (h >> np.uint64(29))
+
+
+class Words(NamedTuple):
+    """Words of some texts that lie one behind the other."""
+
+    begin: np.ndarray  # byte
+    end: np.ndarray
+    hash: np.ndarray
+    text: np.ndarray  # which text
+    ends_line: np.ndarray  # a line of the text ends behind the word
+    marked: np.ndarray  # the word ends in a mark
+
+
+def _block_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """begin, end and hash of the words in at most BLOCK bytes; ``first``: bytes at which a text begins."""
+    blank = _SPACE[data]
+    apart = np.zeros(len(data) + 1, bool)
+    apart[first] = apart[len(data)] = apart[0] = True
+    apart[1:] |= blank
+    begin = np.flatnonzero(~blank & apart[:-1])
+    after = apart[1:].copy()
+    after[:-1] = blank[1:]
+    after[first[first > 0] - 1] = True
+    end = np.flatnonzero(~blank & after) + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * _UP[: len(data)], out=sums[1:])
+    h = _mixed((sums[end] - sums[begin]) * _DOWN[begin])
+    for i in np.flatnonzero(end - begin > WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes())
+    return begin, end, h
+
+
+def split_words(data: np.ndarray, bounds: np.ndarray) -> Words:
+    """Words of the texts data[bounds[i]:bounds[i+1]] (bytes)."""
+    parts, at, last = [], int(bounds[0]), int(bounds[-1])
+    while at < last:
+        to = min(at + BLOCK, last)
+        if to < last:  # up to a text's begin or a blank; a word that fills the block stands alone
+            edge = int(bounds[np.searchsorted(bounds, to, "right") - 1])
+            blanks = np.flatnonzero(_SPACE[data[max(at, edge) : to]])
+            if len(blanks):
+                to = max(at, edge) + int(blanks[-1]) + 1
+            elif edge > at:
+                to = edge
+            else:
+                stop = int(bounds[np.searchsorted(bounds, to, "left")])
+                while to < stop and not (found := np.flatnonzero(_SPACE[data[to : min(to + BLOCK, stop)]])).size:
+                    to = min(to + BLOCK, stop)
+                to += int(found[0]) if to < stop else 0
+                parts.append((np.array([at]), np.array([to]), np.array([xxhash.xxh3_64_intdigest(data[at:to].tobytes())], np.uint64)))
+                at = to
+                continue
+        inside = bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, to)] - at
+        b, e, h = _block_words(data[at:to], inside)
+        parts.append((b + at, e + at, h))
+        at = to
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Words(none, none, none.astype(np.uint64), none, none.astype(bool), none.astype(bool))
+    begin, end, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    text = np.searchsorted(bounds, begin, "right") - 1
+    feeds = np.flatnonzero(data[int(bounds[0]) : last] == 10) + int(bounds[0])
+    upto = np.searchsorted(feeds, end)
+    ends_line = np.ones(len(begin), bool)
+    ends_line[:-1] = (np.searchsorted(feeds, begin[1:]) > upto[:-1]) | (text[1:] != text[:-1])
+    return Words(begin, end, h, text, ends_line, _MARK[data[end - 1]])
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -91,19 +140,73 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
+def least_of(x: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+    """Which values are the least of some ``width`` successive ones of their text."""
+    if not len(x):
+        return np.zeros(0, bool)
+    order = np.concatenate(([0], np.cumsum(text[1:] != text[:-1])))
+    padded = np.full(len(x) + (width - 1) * (int(order[-1]) + 2), _MOST)
+    at = np.arange(len(x)) + (width - 1) * (order + 1)
+    padded[at] = x
+    # Of the windows that hold a value, the greatest minimum is the value itself.
+    return _slide(_slide(padded, width, np.minimum), width, np.maximum)[at - (width - 1)] == x
+
+
+def line_begins(w: Words) -> np.ndarray:
+    """Words at which a line begins."""
+    cut = w.ends_line | w.marked | least_of(w.hash, w.text, CUT)
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(cut)), bool), cut[:-1])))
+
+
+def lines(text: bytes) -> list[bytes]:
+    """Concatenated they are the text."""
+    w = split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    at = [0, *w.begin[line_begins(w)[1:]].tolist(), len(text)]
+    return [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def chunks(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each chunk: its text, its first word (numbered in the text) and its hash."""
+    begin = line_begins(w)
+    if len(begin) < LINES:
+        return begin[:0], begin[:0], w.hash[:0]
+    size = np.diff(np.concatenate((begin, [len(w.hash)])))
+    wide = np.concatenate((w.hash, np.zeros(CUT, np.uint64)))
+    h = wide[begin] * _UP[1]
+    for k in range(1, CUT):
+        h += np.where(size > k, wide[begin + k] * _UP[k + 1], np.uint64(0))
+    h, text, n = _mixed(h), w.text[begin], len(begin) - LINES + 1
+    rolled = np.zeros(n, np.uint64)
+    for k in range(LINES):
+        rolled += h[k : k + n] * _UP[k + 1]
+    whole = np.flatnonzero(text[:n] == text[LINES - 1 :])
+    rolled, text, begin = _mixed(rolled[whole]), text[whole], begin[whole]
+    place = np.flatnonzero(least_of(rolled, text, WINDOW))
+    rolled, text, begin = rolled[place], text[place], begin[place]
+    # Of a run of equal chunks one in WINDOW is enough.
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (rolled[1:] != rolled[:-1]) | (text[1:] != text[:-1])
+    step = (place - np.maximum.accumulate(np.where(fresh, place, 0))) // WINDOW
+    fresh[1:] |= step[1:] != step[:-1]
+    first = np.searchsorted(w.text, text)
+    return text[fresh], (begin - first)[fresh], rolled[fresh]
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
-        hs, idx, of = [], [], []
-        for row, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
-            if not text:
-                continue
-            at, h = chunks(line_hashes(text.split()))
-            hs.append(h)
-            idx.append(at)
-            of.append(np.full(len(at), row))
-        if hs:
-            rows = pa.array(np.concatenate(of))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(idx).astype(np.int32))], names=["h", "doc_id", "rk", "chunk"])
+        if not b.num_rows:
+            continue
+        data, offsets = _buffers(b.column(2))
+        text, at, h = chunks(split_words(data, offsets))
+        rows = pa.array(text)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(at.astype(np.int64))], names=["h", "doc_id", "rk", "at"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,52 +216,78 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(packed, pa.binary())], names=[*b.schema.names[:-1], "packed"])
 
 
+def spans(found: list[tuple]) -> list[tuple]:
+    """Chunks of a text as (first document, its word, word here), to spans (first document, from, to, word here)."""
+    out, held = [], None
+    for doc, there, here in sorted(found, key=lambda f: (f[0], f[2] - f[1], f[2])):
+        if held and held[0] == doc and held[3] - held[1] == here - there and there - held[2] <= GAP and there - held[1] <= SPAN:
+            held[2] = there
+            continue
+        if held:
+            out.append(held)
+        held = [doc, there, there, here]
+    if held:
+        out.append(held)
+    spread = []
+    for doc, begin, end, here in out:
+        before = min(MARGIN, begin, here)
+        spread.append((doc, begin - before, end + CUT * LINES + MARGIN, here - before))
+    return spread
+
+
+def _span_rows(id_type: pa.DataType):
+    """doc_id, rk, found -> first_id, first_rk, wanted (spans of many texts in the same first document share a row)."""
+    wanted = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("doc_id", id_type), ("rk", pa.int64()), ("at", pa.int64())]))
+
+    def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            by: dict[tuple, list] = {}
+            for doc_id, rk, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                names = {(f["first_id"], f["first_rk"]): None for f in found}
+                number = {name: i for i, name in enumerate(names)}
+                name = list(names)
+                for i, begin, end, here in spans([(number[f["first_id"], f["first_rk"]], f["first_at"], f["at"]) for f in found]):
+                    by.setdefault(name[i], []).append({"from": begin, "to": end, "doc_id": doc_id, "rk": rk, "at": here})
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], id_type), pa.array([k[1] for k in by], pa.int64()), pa.array(list(by.values()), wanted)], names=["first_id", "first_rk", "wanted"])
+
+    return span_rows
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, rk, packed, places (chunk, h) -> h, the place, body, left and right (hashes of the words beside it, nearest first)."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    for b in sliced(batches):
-        kinds, out = (pa.int64(), b.column(0).type, pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), []
-        for doc_id, rk, packed, places in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+    """packed, wanted -> doc_id, rk, at, body."""
+    unpack, size, out, kinds = zstandard.ZstdDecompressor().decompress, 0, [], None
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "rk", "at", "body"])
+
+    for b in sliced(batches, 64):
+        kinds = (b.column(1).type.value_type.field("doc_id").type, pa.int64(), pa.int64(), pa.binary())
+        for packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = unpack(packed).split()
-            hashes = _short(words)
-            for p in places:
-                x = p["chunk"]
-                y = x + RUN
-                out.append((p["h"], doc_id, rk, x, b" ".join(words[x:y]), hashes[max(0, x - MARGIN) : x][::-1].tobytes(), hashes[y : y + MARGIN].tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "first_id", "first_rk", "first_chunk", "body", "left", "right"])
-
-
-def removed_lines(parts: list[bytes], matches: list[dict], min_words: int) -> np.ndarray:
-    """Which lines go. matches: chunk, body, left, right of the first places of the text's repeated anchors."""
-    split = [p.split() for p in parts]
-    words, ends = [w for p in split for w in p], np.cumsum([len(p) for p in split])
-    hashes = _short(words).tolist()
-    same, gone = np.zeros(len(words), bool), np.zeros(len(parts), bool)
+            for s in wanted:
+                body = b" ".join(words[s["from"] : s["to"]])
+                out.append((s["doc_id"], s["rk"], s["at"], body))
+                size += len(body) + 64
+                if size > BLOCK:
+                    yield batch()
+                    out.clear()
+                    size = 0
+    if out:
+        yield batch()
+
+
+def removed_lines(words: list[bytes], ends_line: np.ndarray, begins: np.ndarray, matches: list[dict], min_words: int) -> np.ndarray:
+    """Which lines (they begin at the words ``begins``) go. matches: at, body of the first places of the text's spans."""
+    same = np.zeros(len(words), bool)
     for m in matches:
-        x, body = m["chunk"], m["body"].split()
-        y = x + len(body)
-        if words[x:y] != body:
-            continue
-        for one in memoryview(m["left"]).cast("I"):
-            if x == 0 or hashes[x - 1] != one:
-                break
-            x -= 1
-        for one in memoryview(m["right"]).cast("I"):
-            if y == len(words) or hashes[y] != one:
-                break
-            y += 1
-        same[x:y] = True
-    begins = ends - np.array([len(p) for p in split])
+        x = m["at"]
+        there = m["body"].split()
+        here = words[x : x + len(there)]
+        same[x : x + len(here)] |= np.fromiter((p == q for p, q in zip(here, there, strict=False)), bool, len(here))
+    gone, ends = np.zeros(len(begins), bool), np.append(begins[1:], len(words))
     for x, y in np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0])))).reshape(-1, 2):
-        if y - x < min_words or y - x < LONE and np.searchsorted(ends, x, "right") == np.searchsorted(ends, y - 1, "right"):
-            continue
-        gone |= (begins >= x) & (ends <= y) & (begins < ends)
-    # Blank lines go where the lines on both sides do.
-    filled = np.flatnonzero(begins < ends)
-    for i, j in zip(filled[:-1].tolist(), filled[1:].tolist(), strict=True):
-        if gone[i] and gone[j]:
-            gone[i:j] = True
+        if y - x >= min_words and (y - x >= LONE or ends_line[x : y - 1].any()):
+            gone[np.searchsorted(begins, x) : np.searchsorted(ends, y, "right")] = True
     return gone
 
 
@@ -166,19 +295,25 @@ def _rebuild(min_words: int):
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in sliced(batches):
-            texts, counts, cut = [], [], []
-            for packed, matches in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                text = None if packed is None else unpack(packed)
-                n = 0
-                if matches:
-                    parts = lines(text)
-                    gone = removed_lines(parts, matches, min_words)
-                    if n := int(gone.sum()):
-                        text, whole = b"".join(p for p, g in zip(parts, gone, strict=True) if not g), text
-                texts.append(None if text is None else text.decode())
-                counts.append(n)
-                cut.append(n > 0 and not text.strip())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(cut, pa.bool_())], names=[*b.schema.names[:-2], "new_text", "n_removed", "emptied"])
+            texts = [None if p is None else unpack(p) for p in b.column(b.num_columns - 2).to_pylist()]
+            counts, cut, matches = [0] * len(texts), [False] * len(texts), b.column(b.num_columns - 1).to_pylist()
+            some = [i for i, m in enumerate(matches) if m]
+            bounds = np.cumsum([0, *(len(texts[i]) for i in some)])
+            w = split_words(np.frombuffer(b"".join(texts[i] for i in some), np.uint8), bounds)
+            all_begins = line_begins(w)
+            for k, i in enumerate(some):
+                x, y = np.searchsorted(w.text, (k, k + 1))
+                begins = all_begins[np.searchsorted(all_begins, x) : np.searchsorted(all_begins, y)]
+                text = texts[i]
+                gone = removed_lines(text.split(), w.ends_line[x:y], begins - x, matches[i], min_words)
+                counts[i] = int(gone.sum())
+                if counts[i]:
+                    at = w.begin[begins] - bounds[k]
+                    at[0] = 0
+                    kept = np.append(at, len(text))[np.flatnonzero(np.diff(np.concatenate(([1], gone.astype(np.int8), [1]))))]
+                    texts[i] = b"".join(text[p:q] for p, q in kept.reshape(-1, 2).tolist())
+                    cut[i] = not texts[i].strip()
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([None if t is None else t.decode() for t in texts], pa.string()), pa.array(counts, pa.int64()), pa.array(cut, pa.bool_())], names=[*b.schema.names[:-2], "new_text", "n_removed", "emptied"])
 
     return rebuild
 
@@ -189,20 +324,21 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 25, id_col: str = "doc_id",
     rk = F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("rk")
     read = docs.select(F.col(id_col).alias("doc_id"), rk, F.col(text_col).cast("string").alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
-    rows = durable(read.mapInArrow(_chunk_rows, f"h long, doc_id {kind}, rk long, chunk int"), "chunks")
-    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = durable(rows.join(durable(repeated, "repeated"), "h", "left_semi"), "places")
-    first = durable(places.groupBy("h").agg(F.min(F.struct("doc_id", "rk", "chunk")).alias("first")).select("h", "first.*"), "first")
-    packed = lambda *more: docs.select(F.col(id_col).alias("doc_id"), rk, *more, F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, _schema(docs, id_col, more) + "packed binary")
-    listed = first.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("chunk", "h")).alias("places")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("hash"))
-    fetched = packed().join(listed, same).select("doc_id", "rk", "packed", "places").mapInArrow(_fetch, f"h long, first_id {kind}, first_rk long, first_chunk int, body binary, left binary, right binary")
-    bodies = durable(fetched, "bodies")
+    rows = durable(read.mapInArrow(_chunk_rows, f"h long, doc_id {kind}, rk long, at long"), "chunks")
+    repeated = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
+    places = durable(rows.join(repeated, "h", "left_semi"), "places", rows, repeated)
+    first = durable(places.groupBy("h").agg(F.min(F.struct("doc_id", "rk", "at")).alias("first")).select("h", F.col("first.doc_id").alias("first_id"), F.col("first.rk").alias("first_rk"), F.col("first.at").alias("first_at")), "first")
     # One row a chunk on the right: rows of a hot chunk can be split.
-    here = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk")) & (F.col("chunk") == F.col("first_chunk"))
-    again = places.join(bodies, "h").where(~here)
-    found = again.groupBy("doc_id", "rk").agg(F.collect_list(F.struct("chunk", "body", "left", "right")).alias("matches")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
+    here = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk")) & (F.col("at") == F.col("first_at"))
+    again = places.join(first, "h").where(~here).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("first_id", "first_rk", "first_at", "at")).alias("found"))
+    listed = f"first_id {kind}, first_rk long, wanted array<struct<`from`: long, to: long, doc_id: {kind}, rk: long, at: long>>"
+    wanted = durable(again.mapInArrow(_span_rows(to_arrow_type(read.schema["doc_id"].dataType)), listed), "spans", places, first)
+    packed = lambda *more: docs.select(F.col(id_col).alias("doc_id"), rk, *more, F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, _schema(docs, id_col, more) + "packed binary")
+    met = packed().join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk"))).select("packed", "wanted")
+    bodies = durable(met.mapInArrow(_fetch, f"doc_id {kind}, rk long, at long, body binary"), "bodies", wanted)
+    found = bodies.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("at", "body")).alias("matches")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
     names = [f"o{i}" for i in range(len(others))]
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("hash"))
     joined = packed(*(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True))).join(found, same, "left").select("doc_id", *names, "packed", "matches")
     fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(others, names, strict=True))
     out = joined.mapInArrow(_rebuild(min_words), f"doc_id {kind}, {fields}new_text string, n_removed long, emptied boolean")
