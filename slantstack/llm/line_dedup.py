@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import durable, sliced, small_batches, spare
+from .common import durable, sliced, small_batches
 
 CUT, LINES, WINDOW, LONE = 3, 4, 12, 40
 #: Words on either side of a span's chunks: what is the same further off has a chunk of its own.
@@ -237,7 +237,7 @@ def spans(found: list[tuple]) -> list[tuple]:
 
 def _span_rows(id_type: pa.DataType):
     """doc_id, rk, found -> first_id, first_rk, wanted (spans of many texts in the same first document share a row)."""
-    wanted = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("doc_id", id_type), ("rk", pa.int64()), ("at", pa.int64())]))
+    wanted = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("doc_id", id_type), ("rk", pa.int64()), ("at", pa.int64()), ("own", pa.bool_())]))
 
     def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -247,26 +247,26 @@ def _span_rows(id_type: pa.DataType):
                 number = {name: i for i, name in enumerate(names)}
                 name = list(names)
                 for i, begin, end, here in spans([(number[f["first_id"], f["first_rk"]], f["first_at"], f["at"]) for f in found]):
-                    by.setdefault(name[i], []).append({"from": begin, "to": end, "doc_id": doc_id, "rk": rk, "at": here})
+                    by.setdefault(name[i], []).append({"from": begin, "to": end, "doc_id": doc_id, "rk": rk, "at": here, "own": name[i] == (doc_id, rk)})
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], id_type), pa.array([k[1] for k in by], pa.int64()), pa.array(list(by.values()), wanted)], names=["first_id", "first_rk", "wanted"])
 
     return span_rows
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """packed, wanted -> doc_id, rk, at, body."""
+    """packed, wanted -> doc_id, rk, at, own (the first place is in the text itself), body."""
     unpack, size, out, kinds = zstandard.ZstdDecompressor().decompress, 0, [], None
 
     def batch():
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "rk", "at", "body"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "rk", "at", "own", "body"])
 
     for b in sliced(batches, 64):
-        kinds = (b.column(1).type.value_type.field("doc_id").type, pa.int64(), pa.int64(), pa.binary())
+        kinds = (b.column(1).type.value_type.field("doc_id").type, pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         for packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = unpack(packed).split()
             for s in wanted:
                 body = b" ".join(words[s["from"] : s["to"]])
-                out.append((s["doc_id"], s["rk"], s["at"], body))
+                out.append((s["doc_id"], s["rk"], s["at"], s["own"], body))
                 size += len(body) + 64
                 if size > BLOCK:
                     yield batch()
@@ -276,19 +276,25 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def removed_lines(words: list[bytes], ends_line: np.ndarray, begins: np.ndarray, matches: list[dict], min_words: int) -> np.ndarray:
-    """Which lines (they begin at the words ``begins``) go. matches: at, body of the first places of the text's spans."""
-    same = np.zeros(len(words), bool)
+def removed_lines(words: list[bytes], ends_line: np.ndarray, begins: np.ndarray, matches: list[dict], min_words: int) -> tuple[np.ndarray, int]:
+    """Which lines (they begin at the words ``begins``) go, and how many of their words stand first in another text.
+
+    matches: at, own, body of the first places of the text's spans.
+    """
+    same, elsewhere = np.zeros(len(words), bool), np.zeros(len(words), bool)
     for m in matches:
         x = m["at"]
         there = m["body"].split()
         here = words[x : x + len(there)]
-        same[x : x + len(here)] |= np.fromiter((p == q for p, q in zip(here, there, strict=False)), bool, len(here))
+        equal = np.fromiter((p == q for p, q in zip(here, there, strict=False)), bool, len(here))
+        same[x : x + len(here)] |= equal
+        if not m["own"]:
+            elsewhere[x : x + len(here)] |= equal
     gone, ends = np.zeros(len(begins), bool), np.append(begins[1:], len(words))
     for x, y in np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0])))).reshape(-1, 2):
         if y - x >= min_words and (y - x >= LONE or ends_line[x : y - 1].any()):
             gone[np.searchsorted(begins, x) : np.searchsorted(ends, y, "right")] = True
-    return gone
+    return gone, int(elsewhere[np.repeat(gone, ends - begins)].sum())
 
 
 def _rebuild(min_words: int):
@@ -296,7 +302,7 @@ def _rebuild(min_words: int):
         unpack = zstandard.ZstdDecompressor().decompress
         for b in sliced(batches):
             texts = [None if p is None else unpack(p) for p in b.column(b.num_columns - 2).to_pylist()]
-            counts, cut, matches = [0] * len(texts), [False] * len(texts), b.column(b.num_columns - 1).to_pylist()
+            counts, cut, copied, matches = [0] * len(texts), [False] * len(texts), [0.0] * len(texts), b.column(b.num_columns - 1).to_pylist()
             some = [i for i, m in enumerate(matches) if m]
             bounds = np.cumsum([0, *(len(texts[i]) for i in some)])
             w = split_words(np.frombuffer(b"".join(texts[i] for i in some), np.uint8), bounds)
@@ -305,7 +311,8 @@ def _rebuild(min_words: int):
                 x, y = np.searchsorted(w.text, (k, k + 1))
                 begins = all_begins[np.searchsorted(all_begins, x) : np.searchsorted(all_begins, y)]
                 text = texts[i]
-                gone = removed_lines(text.split(), w.ends_line[x:y], begins - x, matches[i], min_words)
+                gone, elsewhere = removed_lines(text.split(), w.ends_line[x:y], begins - x, matches[i], min_words)
+                copied[i] = elsewhere / max(1, int(y - x))
                 counts[i] = int(gone.sum())
                 if counts[i]:
                     at = w.begin[begins] - bounds[k]
@@ -313,13 +320,14 @@ def _rebuild(min_words: int):
                     kept = np.append(at, len(text))[np.flatnonzero(np.diff(np.concatenate(([1], gone.astype(np.int8), [1]))))]
                     texts[i] = b"".join(text[p:q] for p, q in kept.reshape(-1, 2).tolist())
                     cut[i] = not texts[i].strip()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([None if t is None else t.decode() for t in texts], pa.string()), pa.array(counts, pa.int64()), pa.array(cut, pa.bool_())], names=[*b.schema.names[:-2], "new_text", "n_removed", "emptied"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([None if t is None else t.decode() for t in texts], pa.string()), pa.array(counts, pa.int64()), pa.array(cut, pa.bool_()), pa.array(copied, pa.float64())], names=[*b.schema.names[:-2], "new_text", "n_removed", "emptied", "copied"])
 
     return rebuild
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``others``, new_text, n_removed (lines) and emptied (nothing is left) of every row."""
+    """doc_id, ``others``, new_text, n_removed (lines), emptied (nothing is left) and copied (share of the words that were cut
+    and stand first in another text) of every row."""
     small_batches(docs.sparkSession)
     rk = F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("rk")
     read = docs.select(F.col(id_col).alias("doc_id"), rk, F.col(text_col).cast("string").alias("text"))
@@ -331,18 +339,18 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 25, id_col: str = "doc_id",
     # One row a chunk on the right: rows of a hot chunk can be split.
     here = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk")) & (F.col("at") == F.col("first_at"))
     again = places.join(first, "h").where(~here).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("first_id", "first_rk", "first_at", "at")).alias("found"))
-    listed = f"first_id {kind}, first_rk long, wanted array<struct<`from`: long, to: long, doc_id: {kind}, rk: long, at: long>>"
+    listed = f"first_id {kind}, first_rk long, wanted array<struct<`from`: long, to: long, doc_id: {kind}, rk: long, at: long, own: boolean>>"
     wanted = durable(again.mapInArrow(_span_rows(to_arrow_type(read.schema["doc_id"].dataType)), listed), "spans", places, first)
     packed = lambda *more: docs.select(F.col(id_col).alias("doc_id"), rk, *more, F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, _schema(docs, id_col, more) + "packed binary")
     met = packed().join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk"))).select("packed", "wanted")
-    bodies = durable(met.mapInArrow(_fetch, f"doc_id {kind}, rk long, at long, body binary"), "bodies", wanted)
-    found = bodies.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("at", "body")).alias("matches")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
+    bodies = durable(met.mapInArrow(_fetch, f"doc_id {kind}, rk long, at long, own boolean, body binary"), "bodies", wanted)
+    found = bodies.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("at", "own", "body")).alias("matches")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
     names = [f"o{i}" for i in range(len(others))]
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("hash"))
     joined = packed(*(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True))).join(found, same, "left").select("doc_id", *names, "packed", "matches")
     fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(others, names, strict=True))
-    out = joined.mapInArrow(_rebuild(min_words), f"doc_id {kind}, {fields}new_text string, n_removed long, emptied boolean")
-    return out.select("doc_id", *(F.col(n).alias(c) for c, n in zip(others, names, strict=True)), "new_text", "n_removed", "emptied")
+    out = joined.mapInArrow(_rebuild(min_words), f"doc_id {kind}, {fields}new_text string, n_removed long, emptied boolean, copied double")
+    return out.select("doc_id", *(F.col(n).alias(c) for c, n in zip(others, names, strict=True)), "new_text", "n_removed", "emptied", "copied")
 
 
 def _schema(docs: DataFrame, id_col: str, more) -> str:
@@ -350,17 +358,15 @@ def _schema(docs: DataFrame, id_col: str, more) -> str:
     return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept)
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with repeated lines cut from the texts; texts of which nothing is left go."""
+def without_repeats(docs: DataFrame, *, most_copied: float = 0.6, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` with repeated lines cut from the texts.
+
+    Texts of which nothing is left go, and so do near copies: texts of which more than ``most_copied`` of the words were cut
+    and stand first in other texts. What they leave is no document of its own.
+    """
     others = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    text, gone = spare(docs, "new_text"), spare(docs, "emptied")
     found = dedup_lines(docs.select([F.col(f"`{c}`") for c in docs.columns]), id_col=id_col, text_col=text_col, others=others, **kw)
-    order = {c: F.col("doc_id") if c == id_col else F.col("new_text") if c == text_col else F.col(f"`{c}`") for c in docs.columns}
-    return found.where(~F.col("emptied")).select(*(v.alias(c) for c, v in order.items())) if (text, gone) == ("new_text", "emptied") else _renamed(found, others, id_col, text_col, docs)
-
-
-def _renamed(found: DataFrame, others, id_col: str, text_col: str, docs: DataFrame) -> DataFrame:
-    """Where other columns clash with this module's names: columns are told by place."""
-    flat = found.toDF("a_id", *(f"b{i}" for i in range(len(others))), "c_text", "d_n", "e_gone").where("not e_gone")
+    # Other columns may clash with this module's names: columns are told by place.
+    flat = found.toDF("a_id", *(f"b{i}" for i in range(len(others))), "c_text", "d_n", "e_gone", "f_copied").where(~F.col("e_gone") & (F.col("f_copied") <= most_copied))
     place = {c: f"b{i}" for i, c in enumerate(others)} | {id_col: "a_id", text_col: "c_text"}
     return flat.select(*(F.col(place[c]).alias(c) for c in docs.columns))

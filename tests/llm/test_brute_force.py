@@ -431,6 +431,18 @@ def _words(*texts):
     return line_dedup.split_words(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]))
 
 
+def test_near_copies_leave_no_fragments(docs_of, prose):
+    """Near copies go; documents that share a passage stay without it, and one that repeats itself keeps its first turn."""
+    base, part = prose(200, 1), prose(60, 2)
+    w = base.split()
+    w[40], w[150] = "new", "words"
+    texts = [base, " ".join(w), f"{prose(150, 3)} {part}", f"{prose(150, 4)} {part}", "\n".join([prose(80, 5)] * 5)]
+    got = by_id(line_dedup.without_repeats(docs_of(texts)), "text")
+    assert sorted(got) == [0, 2, 3, 4] and got[0][0] == texts[0] and got[2][0] == texts[2]
+    assert got[3][0].split()[:150] == texts[3].split()[:150] and len(got[3][0].split()) <= 154
+    assert got[4][0].split()[:78] == prose(80, 5).split()[:78] and len(got[4][0].split()) <= 84
+
+
 def test_words_and_hashes_do_not_depend_on_place(monkeypatch):
     """Words are those of bytes.split, in blocks of any size; equal words have equal hashes, wherever they stand."""
     r = random.Random(8)
