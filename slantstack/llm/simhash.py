@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, durable, sliced, small_batches, source_key, spare
+from .common import LOWER_BYTES, discard, durable, sliced, small_batches, source_key, spare
 
 HALF = 32
 #: At most this many distinct fingerprints of a key are paired; larger ones are linked through shared points.
@@ -49,6 +49,8 @@ CROWD = 16
 _SLICE = 65_536
 #: Texts of a cohort that are compared with each other in one go, and columns of their shingles at a time.
 BLOCK, COLUMNS = 256, 8192
+#: Bytes of a shingle's hash in the sets that are compared.
+KEPT = 5
 
 
 def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
@@ -127,36 +129,42 @@ def close_pairs(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     points = durable(met.select("fp", "s", "flip", F.explode(other).alias("rest")).select("fp", fp.bitwiseXOR(moved).alias("point")), "points")
     least = durable(points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("point", "a"), "least")
     linked = points.join(least, "point").where((F.col("a") < fp) & (F.bit_count(F.col("a").bitwiseXOR(fp)) <= 2)).select("a", fp.alias("b"))
-    return found.unionAll(linked).distinct()
+    return durable(found.unionAll(linked).distinct(), "links", crowded, points, least)
+
+
+def rooted(edges: DataFrame) -> DataFrame:
+    """fp, root of what ``components`` gives."""
+    return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each other node of a component reaches (roots have no row)."""
+    """u, v (durable): the smallest node v that each other node u of a component reaches (roots have no row)."""
     edges = durable(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return edges
         state = now
         # Large star: every larger neighbour of u is tied to the least of u and its neighbours.
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = durable(edges.select(F.col("v").alias("u"), F.col("u").alias("w")).unionAll(edges.select("u", F.col("u").alias("w"))).join(least, "u").where("w > m").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = durable(edges.select(F.col("v").alias("u"), F.col("u").alias("w")).unionAll(edges.select("u", F.col("u").alias("w"))).join(least, "u").where("w > m").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct(), "large", edges, least)
         # Small star: u and its smaller neighbours are tied to the least of these.
         least = durable(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = durable(small.where("u > v").distinct(), "edges")
+        edges = durable(small.where("u > v").distinct(), "edges", large, least)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, **cols) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = durable(fingerprints(docs, shingle=shingle, **cols), "prints")
     own = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "own")
-    roots = components(close_pairs(own.select("fp"))).withColumnRenamed("node", "fp")
-    tied = durable(own.join(roots, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root")), "tied")
+    links = close_pairs(own.select("fp"))
+    edges = components(links)
+    tied = durable(own.join(rooted(edges), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root")), "tied", links, own, edges)
     least = durable(tied.groupBy("root").agg(F.min("doc_id").alias("component_id")), "component")
-    of = durable(tied.join(least, "root").select("fp", "component_id"), "of")
+    of = durable(tied.join(least, "root").select("fp", "component_id"), "of", tied, least)
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -169,9 +177,20 @@ def prefix(distinct: np.ndarray, similarity: float, common: np.ndarray | None =
     return distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]
 
 
+def to_bytes(distinct: np.ndarray) -> bytes:
+    """The top ``KEPT`` bytes of each hash: that two different shingles agree in them has a chance of one in 2^40."""
+    return np.unique(distinct >> np.uint64(64 - 8 * KEPT)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes()
+
+
+def from_bytes(kept: bytes) -> np.ndarray:
+    wide = np.zeros((len(kept) // KEPT, 8), np.uint8)
+    wide[:, 8 - KEPT :] = np.frombuffer(kept, np.uint8).reshape(-1, KEPT)
+    return wide.view(">u8").astype(np.uint64).ravel()
+
+
 def resemblance(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two sets of hashes."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = from_bytes(a), from_bytes(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
@@ -195,13 +214,14 @@ def _profiler(k: int, similarity: float):
 
 
 def _reorderer(k: int, similarity: float, shared):
-    """fp, text -> fp, n, keys and the share of common shingles."""
+    """doc_id, key, text -> doc_id, key, n, keys and the share of common shingles."""
 
     def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 128):
-            sets = [distinct_shingles(t, k) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            sets = [distinct_shingles(t, k) for t in b.column(2).cast(pa.binary()).to_pylist()]
             share = [float(np.isin(x, shared.value, assume_unique=True).mean()) if len(x) else 0.0 for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), _signed([prefix(x, similarity, shared.value) for x in sets]), pa.array(share, pa.float64())], names=["fp", "n", "keys", "typical"])
+            keys = _signed([prefix(x, similarity, shared.value) for x in sets])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), keys, pa.array(share, pa.float64())], names=["doc_id", "key", "n", "keys", "typical"])
 
     return reorder
 
@@ -209,7 +229,7 @@ def _reorderer(k: int, similarity: float, shared):
 def _setter(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 128):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([distinct_shingles(t, k).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([to_bytes(distinct_shingles(t, k)) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["fp", "shingles"])
 
     return sets
 
@@ -243,7 +263,7 @@ def block_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray,
 def _blocks(similarity: float):
     def compare(group: pa.Table) -> pa.Table:
         fp, root = group["fp"].to_numpy(), group["root"].to_numpy()
-        i, j = block_pairs([np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()], similarity)
+        i, j = block_pairs([from_bytes(s) for s in group["shingles"].to_pylist()], similarity)
         a, b = fp[i], fp[j]
         apart = root[i] != root[j]
         return pa.table({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -251,54 +271,51 @@ def _blocks(similarity: float):
     return compare
 
 
-def similar_pairs(profiles: DataFrame, texts, links: DataFrame, *, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+def similar_pairs(profiles: DataFrame, again, texts, links: DataFrame, *, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """``links`` (a, b) and more of them, which connect all fingerprints whose texts are similar.
 
-    profiles: fp (distinct), n and keys (the prefix); texts: from a table of fp to their fp and text.
+    profiles: fp (distinct), n, keys (the prefix) and typical, durable; again: from the common shingles (a sorted array) to
+    such profiles in which these come last; texts: from a table of fp to their fp and text.
     """
-    spark = profiles.sparkSession
-    small_batches(spark)
-    profiles = durable(profiles.withColumn("typical", F.lit(0.0)), "profiles")
     held = lambda: profiles.select("fp", F.explode("keys").alias("key"))
     shared = lambda h: durable(h.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     counts = shared(held())
     crowded = counts.where(F.col("m") > crowd).select("key")
     common = np.sort(crowded.toArrow()["key"].to_numpy().view(np.uint64))
     if len(common):
-        # Texts with a common shingle in their prefix get one in which these come last; the others' stay as they are.
-        touched = durable(held().join(F.broadcast(crowded), "key", "left_semi").select("fp").distinct(), "touched")
-        again = texts(touched).mapInArrow(_reorderer(shingle, similarity, spark.sparkContext.broadcast(common)), "fp long, n long, keys array<long>, typical double")
-        profiles = durable(profiles.select("fp", "n", "keys", "typical").join(touched, "fp", "left_anti").unionAll(again), "profiles")
+        # Prefixes without a common shingle stay as they are; the texts are scanned again, not shuffled.
+        profiles = durable(again(common), "profiles", profiles, counts)
         counts = shared(held())
-    meeting = durable(held().join(counts, "key").select("key", "fp", "m"), "meeting")
+    meeting = durable(held().join(counts, "key").select("key", "fp", "m"), "meeting", counts)
     few, many = meeting.where(F.col("m") <= crowd), meeting.where(F.col("m") > crowd).select("key", "fp")
     met = few.alias("x").join(few.alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.fp") < F.col("y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     size = lambda c: profiles.select(F.col("fp").alias(c), F.col("n").alias("n" + c))
     pairs = durable(met.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b"), "candidates")
-    wanted = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).unionAll(many.select("fp")).distinct()
-    sets = durable(texts(durable(wanted, "wanted")).mapInArrow(_setter(shingle), "fp long, shingles binary"), "sets")
+    wanted = durable(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).unionAll(many.select("fp")).distinct(), "wanted")
+    sets = durable(texts(wanted).mapInArrow(_setter(shingle), "fp long, shingles binary"), "sets", wanted)
     one = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias("s" + c))
-    verified = lambda p: durable(p.join(one("b"), "b").join(one("a"), "a").select("a", "b", "sa", "sb").mapInArrow(_verifier(similarity), "a long, b long"), "similar")
-    links = links.unionAll(verified(pairs))
+    verified = lambda p, *spent: durable(p.join(one("b"), "b").join(one("a"), "a").select("a", "b", "sa", "sb").mapInArrow(_verifier(similarity), "a long, b long"), "similar", *spent)
+    links = links.unionAll(verified(pairs, pairs))
     if not many.take(1):
+        discard(profiles, meeting, sets)
         return links
     least = durable(many.groupBy("key").agg(F.min("fp").alias("a")), "least")
     ties = components(many.join(least, "key").where("a < fp").select("a", F.col("fp").alias("b")).distinct())
     members = profiles.select("fp", "typical").join(many.select("fp").distinct(), "fp", "left_semi")
-    cohorts = durable(members.join(ties.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "typical", F.coalesce("root", "fp").alias("cohort")), "cohorts")
+    cohorts = durable(members.join(rooted(ties), "fp", "left").select("fp", "typical", F.coalesce("root", "fp").alias("cohort")), "cohorts", profiles, meeting, least, ties)
     lead = durable(cohorts.groupBy("cohort").agg(F.max_by("fp", F.struct("typical", "fp")).alias("lead")), "leads")
     star = cohorts.join(lead, "cohort").where("fp <> lead").select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))
-    links = links.unionAll(verified(star))
-    roots = components(links).withColumnRenamed("node", "fp")
-    rooted = durable(cohorts.join(roots, "fp", "left").select("fp", "cohort", F.coalesce("root", "fp").alias("root")), "rooted")
-    mixed = rooted.groupBy("cohort").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    links = links.unionAll(verified(star, lead))
+    roots = components(links)
+    placed = durable(cohorts.join(rooted(roots), "fp", "left").select("fp", "cohort", F.coalesce("root", "fp").alias("root")), "placed", cohorts, roots)
+    mixed = placed.groupBy("cohort").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     # Half a block each from two parts of a cohort: every pair of its texts meets in one task at least.
     parts = F.ceil(F.col("m") / F.lit(BLOCK // 2)).cast("int")
-    laid = durable(rooted.join(mixed.select("cohort", parts.alias("parts")), "cohort").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).join(sets, "fp"), "laid")
+    laid = durable(placed.join(mixed.select("cohort", parts.alias("parts")), "cohort").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).join(sets, "fp"), "laid", placed, sets)
     other = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = other.select("cohort", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp", "root", "shingles")
     rest = met.groupBy("cohort", "i", "j").applyInArrow(_blocks(similarity), "a long, b long")
-    return links.unionAll(durable(rest, "rest"))
+    return links.unionAll(durable(rest, "rest", laid))
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,19 +330,27 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_c
     # nulls last, then by digest; n_rows counts rows that are equal in both
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = durable(prints.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n_rows")).groupBy("fp").agg(F.min_by(F.struct("doc_id", "key", "n_rows"), rank).alias("best")).select("fp", "best.*"), "best")
-    named = best.select(F.col("fp").alias("f"), F.col("doc_id").alias("i"), F.col("key").alias("k"))
-    of_best = prints.join(named, (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi")
-    profiles = of_best.select("fp", "n", "keys").dropDuplicates(["fp"])
+    named = best.select(F.col("fp").alias("f"), F.col("doc_id").alias("i"), F.col("key").alias("k"), "n_rows")
+    own = (F.col("doc_id").eqNullSafe(F.col("i"))) & (F.col("key") == F.col("k"))
+
+    def single(rows: DataFrame) -> DataFrame:
+        """A row for each fp: only rows of documents that stand there more than once need be told apart."""
+        return rows.where("n_rows = 1").drop("n_rows").unionAll(rows.where("n_rows > 1").drop("n_rows").dropDuplicates(["fp"]))
+
+    profiles = durable(single(prints.drop("fp").join(named, own).select(F.col("f").alias("fp"), "n", "keys", F.lit(0.0).alias("typical"), "n_rows")), "profiles", prints)
+
+    def again(common: np.ndarray) -> DataFrame:
+        schema = f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, n long, keys array<long>, typical double"
+        found = read.mapInArrow(_reorderer(shingle, similarity, docs.sparkSession.sparkContext.broadcast(common)), schema)
+        return single(found.join(named, own).select(F.col("f").alias("fp"), "n", "keys", "typical", "n_rows"))
 
     def texts(fps: DataFrame) -> DataFrame:
-        of = named.join(fps, F.col("f") == F.col("fp")).select("f", "i", "k")
-        found = read.join(of, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
-        return found.groupBy(F.col("f").alias("fp")).agg(F.first("text").alias("text"))
-
-    links = similar_pairs(profiles, texts, durable(close_pairs(best.select("fp")), "links"), shingle=shingle, similarity=similarity)
-    roots = components(links).withColumnRenamed("node", "fp")
-    tied = durable(best.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "key", "n_rows"), "tied")
-    kept = durable(tied.groupBy("root").agg(F.min_by(F.struct("doc_id", "key", "n_rows"), rank).alias("best")).select("best.*"), "kept")
+        return single(read.join(named.join(fps, F.col("f") == F.col("fp"), "left_semi"), own).select(F.col("f").alias("fp"), "text", "n_rows"))
+
+    links = similar_pairs(profiles, again, texts, close_pairs(best.select("fp")), shingle=shingle, similarity=similarity)
+    roots = components(links)
+    tied = durable(best.join(rooted(roots), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "key", "n_rows"), "tied", best, roots)
+    kept = durable(tied.groupBy("root").agg(F.min_by(F.struct("doc_id", "key", "n_rows"), rank).alias("best")).select("best.*"), "kept", tied)
     key, many = spare(docs, "key"), spare(docs, "n_equal")
     mark = kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), F.col("n_rows").alias(many))
     rows = docs.withColumn(key, source_key(text_col)).alias("d").join(mark, F.col(f"d.{id_col}").eqNullSafe(F.col("kept_id")) & (F.col(f"d.{key}") == F.col("kept_key")))

@@ -286,14 +286,14 @@ def test_links_against_all_pairs(spark, crowd):
     signed = [p - (1 << 64) if p >> 63 else p for p in sorted(prints)]
     pairs = simhash.close_pairs(spark.createDataFrame([(p,) for p in signed], "fp long"), crowd)
     assert all(((p["a"] ^ p["b"]) & (2**64 - 1)).bit_count() <= 2 for p in pairs.collect())
-    root = {p["node"]: p["root"] for p in simhash.components(pairs).collect()}
+    root = {p["u"]: p["v"] for p in simhash.components(pairs).collect()}
     want = brute_components({p: p & (2**64 - 1) for p in signed})
     assert {p: root.get(p, p) for p in signed} == want
 
 
 def test_long_chains(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(0, 200)] + [(500, 501)], "a long, b long")
-    got = {r["node"]: r["root"] for r in simhash.components(pairs).collect()}
+    got = {r["u"]: r["v"] for r in simhash.components(pairs).collect()}
     assert got == {**{k: 0 for k in range(1, 201)}, 501: 500}
     assert simhash.components(pairs.limit(0)).count() == 0
 
