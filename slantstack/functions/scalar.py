@@ -70,22 +70,26 @@ def log_intensity(v: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with a unit of 1024."""
-    out = F.format_string("%.1fTB", n / 1024.0**4)
-    for k, unit in ((4, "GB"), (3, "MB"), (2, "KB")):
-        out = F.when(n < 1024.0**k, F.format_string(f"%.1f{unit}", n / 1024.0 ** (k - 1))).otherwise(out)
-    return F.when(n < 1024, F.format_string("%dB", n.cast("long"))).otherwise(out)
+    """Bytes in the largest unit of 1024 that keeps them at 1 or more, to two decimals at most; 0 is "0B"."""
+    out = None
+    for k in reversed(range(len(SIZE_UNITS))):
+        text = F.concat(F.bround(n / F.lit(1024.0**k), 2).cast("string"), F.lit(SIZE_UNITS[k]))
+        out = text if out is None else F.when(n < 1024.0 ** (k + 1), text).otherwise(out)
+    return F.when(n == 0, "0B").otherwise(out)
 
 
-#: Pixel size in metres below which each zoom level is enough, coarsest first.
-ZOOMS = [(10, 160.0), (11, 80.0), (12, 40.0), (13, 20.0), (14, 10.0), (15, 5.0)]
+#: Units of 1024 bytes.
+SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")
+#: Zoom level and the largest pixel size in metres it is for, finest first; coarser pixels have COARSEST_ZOOM.
+ZOOMS = [(17, 5.0), (16, 10.0), (15, 20.0), (14, 40.0), (13, 80.0), (12, 160.0)]
+COARSEST_ZOOM = 11
 
 
 def zoom_level(pixel_m: Column) -> Column:
     """Most detailed tile level that a pixel size is worth."""
-    out = F.lit(16)
+    out = F.lit(COARSEST_ZOOM)
     for level, size in reversed(ZOOMS):
-        out = F.when(pixel_m >= size, level).otherwise(out)
+        out = F.when(pixel_m <= size, level).otherwise(out)
     return out
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 LIGHT_SPEED = 299_792_458.0
 
@@ -26,9 +26,12 @@ class Grid:
 
     def spacing_m(self) -> tuple[float, float]:
         """(north, east) pixel spacing in metres: polar radius along meridians, equatorial radius at the central latitude."""
+        return self.spacing_at(self.corner_lat + self.post_lat * self.length / 2)
+
+    def spacing_at(self, lat: float) -> tuple[float, float]:
+        """(north, east) pixel spacing in metres at a latitude."""
         rb = self.ra * (1 - 1 / self.recip_f)
-        centre = self.corner_lat + self.post_lat * self.length / 2
-        return 2 * math.pi * rb / 360 * abs(self.post_lat), 2 * math.pi * self.ra / 360 * self.post_lon * math.cos(math.radians(centre))
+        return 2 * math.pi * rb / 360 * abs(self.post_lat), 2 * math.pi * self.ra / 360 * self.post_lon * math.cos(math.radians(lat))
 
     def coarser(self, ny: int, nx: int) -> "Grid":
         """The grid of ny x nx block means; its corner is the centre of the first block."""
@@ -113,14 +116,6 @@ def half_even(v: float) -> int:
     return round(v)
 
 
-def readable_size(n: float) -> str:
-    """Bytes with the largest unit of 1024 that keeps them at 1 or more."""
-    for unit in ("B", "KB", "MB", "GB", "TB"):
-        if n < 1024 or unit == "TB":
-            return f"{n:.1f}{unit}" if unit != "B" else f"{int(n)}B"
-        n /= 1024
-
-
 @dataclass(frozen=True)
 class Sensor:
     frequency_hz: float = LIGHT_SPEED / 0.0554658
@@ -160,9 +155,9 @@ class Thresholds:
 
 
 def default_thresholds(sensor: Sensor, n_epochs: int) -> Thresholds:
-    """Per band; the least number of observations is 1.5 times (C) or once (L) the number of epochs."""
+    """Fixed values, per band; the least number of observations is 1.5 times (C) or once (L) the number of epochs."""
     if sensor.band == "L":
-        return Thresholds(coh_avg=0.01, n_unw=float(n_epochs), vstd=100.0, n_gap=1.0, stc=20.0, n_noloop=500.0, n_loop_err=500.0, resid_rms=20.0)
+        return Thresholds(coh_avg=0.01, n_unw=float(n_epochs), max_run=1.0, vstd=200.0, n_gap=1.0, stc=10.0, n_noloop=50.0, n_loop_err=1.0, resid_rms=10.0)
     return Thresholds(n_unw=float(int(n_epochs * 1.5)))
 
 
@@ -175,6 +170,8 @@ class Settings:
     loop_rms: float = 1.5
     gamma: float = 1e-4
     bootstrap: int = 100
-    smooth_years: float = 0.25
+    #: Width of the filter in time; 0: three mean intervals of the epochs.
+    smooth_years: float = 0.0
     smooth_km: float = 2.0
-    thresholds: Thresholds = field(default_factory=Thresholds)
+    #: None: those of the sensor's band and the number of epochs.
+    thresholds: Thresholds | None = None

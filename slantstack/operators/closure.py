@@ -108,11 +108,25 @@ def loop_errors(phases: DataFrame, ref: DataFrame, loops: DataFrame) -> DataFram
     return phases.join(F.broadcast(base), "l").groupBy("y", "x").agg(F.count_if(F.abs(F.col("phi") - F.col("base")) > math.pi).alias("n_loop_err"))
 
 
-def loop_flags(first: DataFrame, third: DataFrame, bad1: DataFrame, noref: DataFrame, bad3: DataFrame, threshold: float = 1.5) -> DataFrame:
-    """l, flag: "*" holds a pair bad in pass 1, "+" one bad in pass 3, "**" one without reference, "***" still above the threshold, "/" good."""
-    holds = lambda bad, c: F.broadcast(network.loop_pairs(first).join(F.broadcast(bad.select("p").distinct()), "p", "left_semi").select("l").distinct().withColumn(c, F.lit(True)))
-    all_of = first.select("l").join(holds(bad1, "b1"), "l", "left").join(holds(bad3, "b3"), "l", "left").join(holds(noref, "b2"), "l", "left").join(F.broadcast(third.select("l", F.col("rms").alias("rms3"))), "l", "left")
-    return all_of.select("l", F.when(F.col("b1"), "*").when(F.col("b3"), "+").when(F.col("b2"), "**").when(F.col("rms3") >= threshold, "***").otherwise("/").alias("flag"))
+def loop_flags(loops: DataFrame, bad1: DataFrame, removed: DataFrame, noref: DataFrame, bad3: DataFrame, candidates: DataFrame) -> DataFrame:
+    """l, flag of every loop, by the first of these that holds one of its pairs.
+
+    "*": bad in pass 1; "+": on the list of manual removal; "**": without a value at the reference; "***": bad in pass 3;
+    "/": a candidate that remains; "": none of them.
+    """
+    marks = ((bad1, "*"), (removed, "+"), (noref, "**"), (bad3, "***"), (candidates, "/"))
+    ranked = None
+    for k, (pairs, _) in enumerate(marks):
+        one = pairs.select("p", F.lit(k).alias("k"))
+        ranked = one if ranked is None else ranked.unionByName(one)
+    first = network.loop_pairs(loops).join(F.broadcast(ranked.groupBy("p").agg(F.min("k").alias("k"))), "p").groupBy("l").agg(F.min("k").alias("k"))
+    names = F.array(*[F.lit(m) for _, m in marks])
+    return loops.select("l").join(F.broadcast(first), "l", "left").select("l", F.coalesce(F.get(names, F.col("k")), F.lit("")).alias("flag"))
+
+
+def remaining_candidates(rated: DataFrame, bad: DataFrame, threshold: float = 1.5) -> DataFrame:
+    """p: pairs of loops that are still bad, without those that are on the list of bad ones."""
+    return network.minus(network.loop_pairs(rated.where(F.col("rms") >= threshold)).select("p").distinct(), bad)
 
 
 def no_loop_counts(packed: DataFrame, loops: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,15 +81,18 @@ def values_at(points: DataFrame, df: DataFrame, grid: Grid, window: int = 3, val
 
 
 def profile(df: DataFrame, line: tuple[int, int, int, int], grid: Grid, value: str = "v") -> DataFrame:
-    """s, x, y, distance (m), value of int(length) samples from one pixel to another, rounded to even on ties."""
+    """s, x, y, distance, value of int(length) samples from one pixel to another, rounded to even on ties.
+
+    Distances are even steps from 0 to the line's length in whole metres, at the latitude of its middle.
+    """
     x1, y1, x2, y2 = line
     n = max(1, int(((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5))
-    north, east = grid.spacing_m()
+    north, east = grid.spacing_at(grid.corner_lat + grid.post_lat * (y1 + y2) / 2)
+    metres = int(math.hypot((x2 - x1) * east, (y2 - y1) * north))
     step = F.col("s") / F.lit(max(1, n - 1))
     fx, fy = F.lit(float(x1)) + step * (x2 - x1), F.lit(float(y1)) + step * (y2 - y1)
     samples = df.sparkSession.range(n).select(F.col("id").cast("int").alias("s"), F.rint(fx).cast("int").alias("x"), F.rint(fy).cast("int").alias("y"))
-    away = F.sqrt(F.pow((F.col("x") - x1) * east, 2) + F.pow((F.col("y") - y1) * north, 2))
-    return F.broadcast(samples).join(df, ["y", "x"], "left").select("s", "x", "y", away.alias("distance"), value)
+    return F.broadcast(samples).join(df, ["y", "x"], "left").select("s", "x", "y", (step * metres).alias("distance"), value)
 
 
 def resample_bilinear(df: DataFrame, source: Grid, target: Grid, value: str = "v") -> DataFrame:

@@ -127,9 +127,6 @@ def _(st):
     return network.segments(st.pairs.where(BROKEN), st.epochs).withColumn("years", R(c("years"), 6))
 
 
-QUERIES["qc09_network_report"], ORACLES["qc09_network_report"] = QUERIES["agg23_segments"], ORACLES["agg23_segments"]
-
-
 @query("win10_gap_middles", "SELECT a.t AS k, CAST(CAST(a.q + CAST(floor(date_diff('day', a.q, b.q) / 2) AS INT) AS DATE) AS VARCHAR) AS mid FROM epochs a JOIN epochs b ON b.t = a.t + 1 WHERE a.t IN (9, 20)")
 def _(st):
     return network.gap_middles(st.pairs.where(BROKEN), st.epochs).select("k", c("mid").cast("string").alias("mid"))
@@ -177,12 +174,9 @@ def _(st):
     return network.baselines(st.pairs, b, st.epochs).select("p", c("dt").cast("long").alias("dt"), R(c("dbperp"), 6).alias("dbperp"))
 
 
-QUERIES["agg05_pair_baselines"], ORACLES["agg05_pair_baselines"] = QUERIES["src10_baselines"], ORACLES["src10_baselines"]
-
-
-@query("qry16_dummy_baselines")
+@query("qry16_dummy_baselines", f"SELECT t, {r('CASE WHEN t = 0 THEN 0 WHEN t % 4 = 1 THEN u + 0.5 WHEN t % 4 = 2 THEN -0.5 - u WHEN t % 4 = 3 THEN u ELSE -u END')} AS bperp FROM (SELECT t, ((t * 7919 + 104729) % 1000) / 2000::DOUBLE AS u FROM epochs)")
 def _(st):
-    return network.dummy_baselines(st.epochs)
+    return network.dummy_baselines(st.epochs).select("t", R(c("bperp"), 6).alias("bperp"))
 
 
 @query("qry08_network", f"SELECT name, i, j, p NOT IN (SELECT p FROM pairs WHERE p % 7 = 3) AS good, {r('a.yr')} AS yr1, {r('b.yr')} AS yr2 FROM names JOIN epochs a ON a.t = i JOIN epochs b ON b.t = j")
@@ -212,9 +206,6 @@ def _(st):
     return correct.latest_with_layer(files_of(st), "zenith_tif", 22)
 
 
-QUERIES["src21_latest_available"], ORACLES["src21_latest_available"] = QUERIES["top05_latest_with_layer"], ORACLES["top05_latest_with_layer"]
-
-
 @query("src16_choose_source", FILES + " SELECT t, (SELECT kind FROM files f WHERE f.t = e.t ORDER BY list_position(['slant_tif', 'zenith_tif', 'zenith_flat'], kind) LIMIT 1) AS source FROM epochs e")
 def _(st):
     return correct.choose_source(st.epochs, files_of(st))
@@ -296,13 +287,14 @@ def _(st):
     return st.heights.select("y", "x", R(S.log_intensity(c("hgt")), 6).alias("v"))
 
 
-@query("prj19_zoom_and_colour", "SELECT y, x, CASE WHEN hgt / 20 >= 160 THEN 10 WHEN hgt / 20 >= 80 THEN 11 WHEN hgt / 20 >= 40 THEN 12 WHEN hgt / 20 >= 20 THEN 13 WHEN hgt / 20 >= 10 THEN 14 WHEN hgt / 20 >= 5 THEN 15 ELSE 16 END AS zoom, CAST(greatest(0, least(63, floor((hgt - 1300) / (1600 - 1300) * 64))) AS INT) AS level, CAST(pow(2, 6) AS INT) - y - 1 AS tms_row FROM heights")
+@query("prj19_zoom_and_colour", "SELECT y, x, CASE WHEN m <= 5 THEN 17 WHEN m <= 10 THEN 16 WHEN m <= 20 THEN 15 WHEN m <= 40 THEN 14 WHEN m <= 80 THEN 13 WHEN m <= 160 THEN 12 ELSE 11 END AS zoom, CAST(greatest(0, least(63, floor((hgt - 1300) / (1600 - 1300) * 64))) AS INT) AS level, CAST(pow(2, 6) AS INT) - y - 1 AS tms_row FROM (SELECT *, 2.5 * (1 + (x + 10 * y) % 80) AS m FROM heights)")
 def _(st):
-    return st.heights.select("y", "x", S.zoom_level(c("hgt") / 20).alias("zoom"), S.colour_index(c("hgt"), 1300.0, 1600.0, 64).alias("level"), S.flipped_tile_row(c("y"), F.lit(6)).alias("tms_row"))
+    return st.heights.select("y", "x", S.zoom_level(2.5 * (1 + (c("x") + 10 * c("y")) % 80)).alias("zoom"), S.colour_index(c("hgt"), 1300.0, 1600.0, 64).alias("level"), S.flipped_tile_row(c("y"), F.lit(6)).alias("tms_row"))
 
 
-QUERIES["prj20_colour_levels"], ORACLES["prj20_colour_levels"] = QUERIES["prj19_zoom_and_colour"], ORACLES["prj19_zoom_and_colour"]
-QUERIES["spa12_tile_rows"], ORACLES["spa12_tile_rows"] = QUERIES["prj19_zoom_and_colour"], ORACLES["prj19_zoom_and_colour"]
+@query("prj16_sizes", "SELECT t, CASE WHEN n < 1024 THEN CAST(round_even(n, 2) AS VARCHAR) || 'B' WHEN n < pow(1024, 2) THEN CAST(round_even(n / 1024, 2) AS VARCHAR) || 'KB' WHEN n < pow(1024, 3) THEN CAST(round_even(n / pow(1024, 2), 2) AS VARCHAR) || 'MB' WHEN n < pow(1024, 4) THEN CAST(round_even(n / pow(1024, 3), 2) AS VARCHAR) || 'GB' ELSE CAST(round_even(n / pow(1024, 4), 2) AS VARCHAR) || 'TB' END AS size FROM (SELECT t, CAST(pow(3, t) AS DOUBLE) AS n FROM epochs)")
+def _(st):
+    return st.epochs.select("t", S.human_size(F.pow(F.lit(3.0), c("t"))).alias("size"))
 
 
 @query("str01_pair_dates", "SELECT name, CAST(d1 AS VARCHAR) AS d1, CAST(d2 AS VARCHAR) AS d2, CAST(date_diff('day', d1, d2) AS INT) AS days, CAST(dayofyear(d1) - 1 AS INT) AS offset_day FROM names")
@@ -332,9 +324,6 @@ def _(st):
     return raster.mask_with(st.cum, mask_of(st), "d").select("y", "x", "t", R(c("d"), 6).alias("d"))
 
 
-QUERIES["qry07_mask_raster"], ORACLES["qry07_mask_raster"] = QUERIES["flt04_mask_raster"], ORACLES["flt04_mask_raster"]
-
-
 @query("flt06_enough_pairs", "SELECT y, x, count(ph) AS n FROM obs GROUP BY y, x HAVING count(ph) > CAST(floor(2.65 * (SELECT count(*) FROM epochs)) AS INT)")
 def _(st):
     return st.obs.groupBy("y", "x").agg(F.count("ph").alias("n")).where(c("n") > int(2.65 * len(st.epoch_rows)))
@@ -392,19 +381,12 @@ def _(st):
     return raster.values_at(st.points, st.heights, GRID, 3, "hgt").select("pid", c("y").cast("double").alias("y"), c("x").cast("double").alias("x"), R(c("value"), 6).alias("value"), R(c("mean"), 6).alias("mean"))
 
 
-for _name in ("joi07_points_nearest", "joi08_point_window", "spa06_box_average"):
-    QUERIES[_name], ORACLES[_name] = QUERIES["qry04_point_values"], ORACLES["qry04_point_values"]
-
-
 @query("qry05_profile", f""", s AS (SELECT CAST(s AS INT) AS s, CAST(round_even(1 + s / 8::DOUBLE * 7, 0) AS INT) AS x, CAST(round_even(9 - s / 8::DOUBLE * 7, 0) AS INT) AS y FROM range(9) g(s))
-SELECT s, x, y, {r('sqrt(pow((x - 1) * e, 2) + pow((y - 9) * n, 2))', 3)} AS distance, {r('hgt')} AS hgt FROM s LEFT JOIN heights USING (y, x), (SELECT 2 * pi() * 6378137 * (1 - 1 / 298.2572236::DOUBLE) / 360 * 0.01 AS n, 2 * pi() * 6378137 / 360 * 0.01 * cos(radians(41.0 - 0.05)) AS e)""")
+SELECT s, x, y, {r('s / 8::DOUBLE * floor(sqrt(pow(7 * e, 2) + pow(7 * n, 2)))', 3)} AS distance, {r('hgt')} AS hgt FROM s LEFT JOIN heights USING (y, x), (SELECT 2 * pi() * 6378137 * (1 - 1 / 298.2572236::DOUBLE) / 360 * 0.01 AS n, 2 * pi() * 6378137 / 360 * 0.01 * cos(radians(41.0 - 0.01 * 5.5)) AS e)""")
 def _(st):
     return raster.profile(st.heights, (1, 9, 8, 2), GRID, "hgt").select("s", "x", "y", R(c("distance"), 3).alias("distance"), R(c("hgt"), 6).alias("hgt"))
 
 
-QUERIES["spa07_profile_samples"], ORACLES["spa07_profile_samples"] = QUERIES["qry05_profile"], ORACLES["qry05_profile"]
-
-
 @query("spa09_bilinear", f""", g AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, 0.25 + y * 0.5 AS fy, 0.5 + x * 0.75 AS fx FROM range(12) a(y), range(10) b(x)),
 k AS (SELECT *, CAST(least(floor(fy), 8) AS INT) AS y0, CAST(least(floor(fx), 8) AS INT) AS x0 FROM g)
 SELECT k.y, k.x, CASE WHEN count(hgt) = 4 THEN {r('sum(hgt * CASE WHEN h.y = y0 THEN 1 - (fy - y0) ELSE fy - y0 END * CASE WHEN h.x = x0 THEN 1 - (fx - x0) ELSE fx - x0 END)', 5)} END AS v FROM k LEFT JOIN heights h ON h.y BETWEEN y0 AND y0 + 1 AND h.x BETWEEN x0 AND x0 + 1 AND fy <= 9 AND fx <= 9 GROUP BY k.y, k.x""")
@@ -418,9 +400,6 @@ def _(st):
     return raster.percentiles(st.cum, 1, 99, "d").select(R(c("low"), 6).alias("low"), R(c("high"), 6).alias("high"))
 
 
-QUERIES["qry10_display_range"], ORACLES["qry10_display_range"] = QUERIES["agg18_percentiles"], ORACLES["agg18_percentiles"]
-
-
 @query("agg20_range", f"SELECT {r('min(d)')} AS low, {r('max(d)')} AS high FROM cum")
 def _(st):
     return st.cum.agg(R(F.min("d"), 6).alias("low"), R(F.max("d"), 6).alias("high"))
@@ -538,9 +517,6 @@ def _(st):
     return closure.reference_pixel(closure.pixel_stats(_net(st)[2]), closure.unwrap_counts(st.obs))
 
 
-QUERIES["qc04_reference_pass"], ORACLES["qc04_reference_pass"] = QUERIES["top02_reference_pixel"], ORACLES["top02_reference_pixel"]
-
-
 @query("agg10_reference_phase", REFP + f" SELECT p, {r('ref')} AS ref FROM ref")
 def _(st):
     return closure.reference_phase(st.obs, REF).withColumn("ref", R(c("ref"), 6))
@@ -579,18 +555,19 @@ def _(st):
     return closure.loop_errors(ph, closure.reference_phase(st.obs, REF), loops)
 
 
-QUERIES["qc07_loop_errors"], ORACLES["qc07_loop_errors"] = QUERIES["agg08_loop_errors"], ORACLES["agg08_loop_errors"]
-
-
-@query("qc08_loop_flags", PHI + BAD1 + REFP.replace("rated", "rated_") + f""", rated3 AS (SELECT l, rms FROM loops LEFT JOIN (SELECT l, sqrt(avg(pow(phi - base, 2))) AS rms FROM phases JOIN base USING (l) GROUP BY l) USING (l)),
-noref AS (SELECT p FROM obs GROUP BY p HAVING count(ph) FILTER (x = {ONE.x1} AND y = {ONE.y1}) = 0), bad3 AS (SELECT p FROM pairs WHERE p % 17 = 4)
-SELECT r.l, CASE WHEN len(list_intersect([p12, p23, p13], (SELECT list(p) FROM bad1))) > 0 THEN '*' WHEN len(list_intersect([p12, p23, p13], (SELECT list(p) FROM bad3))) > 0 THEN '+' WHEN len(list_intersect([p12, p23, p13], (SELECT list(p) FROM noref))) > 0 THEN '**' WHEN k.rms >= {LOOP} THEN '***' ELSE '/' END AS flag FROM rated r JOIN rated3 k ON k.l = r.l""")
+@query("qc08_loop_flags", PHI + BAD1 + REFP.replace("rated", "rated_") + f""", rated3 AS (SELECT l, p12, p23, p13, rms FROM loops LEFT JOIN (SELECT l, sqrt(avg(pow(phi - base, 2))) AS rms FROM phases JOIN base USING (l) GROUP BY l) USING (l)),
+lp3 AS (SELECT unnest([p12, p23, p13]) AS p, rms FROM rated3), noref AS (SELECT p FROM obs GROUP BY p HAVING count(ph) FILTER (x = {ONE.x1} AND y = {ONE.y1}) = 0),
+bad3 AS (SELECT DISTINCT p FROM lp3 WHERE rms >= 0.8 AND p NOT IN (SELECT p FROM lp3 WHERE rms < 0.8)), manual AS (SELECT p FROM pairs WHERE p % 17 = 4),
+cand AS (SELECT p FROM lp3 WHERE rms >= 0.8 EXCEPT (SELECT p FROM bad1 UNION SELECT p FROM manual UNION SELECT p FROM noref UNION SELECT p FROM bad3)),
+held AS (SELECT l, bool_or(p IN (SELECT p FROM bad1)) AS a, bool_or(p IN (SELECT p FROM manual)) AS b, bool_or(p IN (SELECT p FROM noref)) AS c, bool_or(p IN (SELECT p FROM bad3)) AS d, bool_or(p IN (SELECT p FROM cand)) AS e FROM (SELECT l, unnest([p12, p23, p13]) AS p FROM loops) GROUP BY l)
+SELECT l, CASE WHEN a THEN '*' WHEN b THEN '+' WHEN c THEN '**' WHEN d THEN '***' WHEN e THEN '/' ELSE '' END AS flag FROM held""")
 def _(st):
     loops, packed, ph = _net(st)
-    first = closure.loop_rms(ph, loops)
+    bad1 = closure.bad_pairs(closure.loop_rms(ph, loops), LOOP)
     third = closure.referenced_loop_rms(closure.loop_phase(packed, loops), closure.reference_phase(st.obs, REF), loops)
-    noref = closure.pairs_without_reference(closure.reference_phase(st.obs, ONE))
-    return closure.loop_flags(first, third, closure.bad_pairs(first, LOOP), noref, st.pairs.where("p % 17 = 4"), LOOP)
+    manual, noref, bad3 = st.pairs.where("p % 17 = 4").select("p"), closure.pairs_without_reference(closure.reference_phase(st.obs, ONE)), closure.bad_pairs(third, 0.8)
+    candidates = closure.remaining_candidates(third, network.merged(bad1, manual, noref, bad3), 0.8)
+    return closure.loop_flags(loops, bad1, manual, noref, bad3, candidates)
 
 
 @query("agg12_gap_counts", "SELECT y, x, CAST(count(*) FILTER (n = 0) AS INT) AS n_gap FROM (SELECT y, x, t, count(ph) FILTER (i <= t AND t < j) AS n FROM obs, (SELECT t FROM epochs WHERE t < (SELECT max(t) FROM epochs)) GROUP BY y, x, t) GROUP BY y, x")
@@ -655,9 +632,6 @@ def _(st):
     return invert.long_series(invert.accumulate(inv, gap), st.years).select("y", "x", "t", R(c("d"), 4).alias("d"))
 
 
-QUERIES["win05_gap_nulls"] = QUERIES["win01_displacement"]
-
-
 # --- series --------------------------------------------------------------------------------------------------------
 
 
@@ -666,9 +640,6 @@ def _(st):
     return series.velocity(st.cum).select("y", "x", "n", R(c("vel"), 5).alias("vel"), R(c("vintercept"), 5).alias("vintercept"))
 
 
-QUERIES["la17_export_fit"], ORACLES["la17_export_fit"] = QUERIES["la07_velocity"], ORACLES["la07_velocity"]
-
-
 @query("agg17_area_series", AREA + f" SELECT t, {r('ref')} AS ref FROM area")
 def _(st):
     return series.area_series(st.cum, REF).withColumn("ref", R(c("ref"), 6))
@@ -784,9 +755,6 @@ def _(st):
     return series.velocity_std(st.cum, 28, 100).withColumn("vstd", R(c("vstd"), 5))
 
 
-QUERIES["joi10_bootstrap_join"], ORACLES["joi10_bootstrap_join"] = QUERIES["la09_velocity_std"], ORACLES["la09_velocity_std"]
-
-
 # --- masks ---------------------------------------------------------------------------------------------------------
 
 LIMITS = Thresholds(coh_avg=0.46, n_unw=70.0, vstd=0.6, n_loop_err=3.0)
@@ -881,7 +849,6 @@ def _(st):
     return smooth.temporal(st.cum, st.epochs, SIGMA_T).select("y", "x", "t", R(c("lp"), 5).alias("lp"), R(c("hp"), 5).alias("hp"))
 
 
-QUERIES["joi09_time_band_join"], ORACLES["joi09_time_band_join"] = QUERIES["win08_temporal_smooth"], ORACLES["win08_temporal_smooth"]
 _G = f"exp(-pow(a.y - b.y, 2) / {2 * SIGMA_Y * SIGMA_Y}::DOUBLE - pow(a.x - b.x, 2) / {2 * SIGMA_X * SIGMA_X}::DOUBLE)"
 
 
@@ -906,10 +873,6 @@ def _(st):
     return los.decompose(los.require_sides(st.los.where("NOT (geom = 'b' AND x = 9)"))).select("y", "x", "n_plus", "n_minus", "n", R(c("ew"), 5).alias("ew"), R(c("ud"), 5).alias("ud"))
 
 
-for _name in ("qry06_decompose", "agg21_look_sums", "agg22_look_counts", "joi11_looks_on_grid"):
-    QUERIES[_name], ORACLES[_name] = QUERIES["la14_decompose"], ORACLES["la14_decompose"]
-
-
 @query("la14_residuals", LOOKS + f" SELECT geom, l.y, l.x, {r('disp - e * ew - u * s.ud', 5)} AS resid FROM los l JOIN sol s ON s.y = l.y AND s.x = l.x WHERE s.n >= 3")
 def _(st):
     v = st.los.where("NOT (geom = 'b' AND x = 9)")

@@ -12,14 +12,15 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slantstack.model import Box, Grid, Sensor, Settings
+from slantstack.model import Box, Grid, Sensor, Settings, default_thresholds
 from slantstack.operators import closure, decide, detrend, invert, network, raster, series, smooth
 from slantstack.sources import export
 
 
 @dataclass
 class Run:
-    """What steps share. tables: epochs (t, yr), pairs (p, i, j), obs (y, x, p, ph, coh), and results by name."""
+    """What steps share. tables: epochs (t, yr), pairs (p, i, j), obs (y, x, p, ph, coh), optionally removed (p: pairs on the
+    list of manual removal), and results by name."""
 
     tables: dict[str, DataFrame]
     grid: Grid
@@ -58,14 +59,17 @@ def check_pairs(run: Run) -> None:
 
 
 def check_loops(run: Run) -> None:
-    t = run.tables
+    """Pass 1 rates all loops; pass 2 picks the reference without bad and removed pairs; pass 3 rates what is left against
+    the reference; pass 4 counts the loop errors of the pairs that stay."""
+    t, limit = run.tables, run.settings.loop_rms
+    removed = t["removed"].select("p") if "removed" in t else t["bad"].limit(0)
     pairs = network.minus(t["pairs"], t["bad"])
     loops = network.triangles(pairs)
     packed = closure.pack(t["obs"], 1 + t["pairs"].agg(F.max("p")).first()[0])
     phases = closure.without_cycles(closure.loop_phase(packed, loops))
     rated = run.keep("loops", closure.loop_rms(phases, loops))
-    bad = run.keep("bad_pairs", network.merged(t["bad"], closure.bad_pairs(rated, run.settings.loop_rms)))
-    good = network.minus(pairs, bad)
+    bad1 = closure.bad_pairs(rated, limit)
+    good = network.minus(pairs, network.merged(bad1, removed))
     kept = network.triangles(good)
     phases = closure.without_cycles(closure.loop_phase(packed, kept))
     counts = run.keep("counts", closure.unwrap_counts(t["obs"].join(F.broadcast(good.select("p")), "p")))
@@ -75,8 +79,13 @@ def check_loops(run: Run) -> None:
     box = Box(ref["x"], ref["x"] + 1, ref["y"], ref["y"] + 1)
     run.notes["ref"] = str(box)
     phase = closure.reference_phase(t["obs"], box)
-    run.keep("good_pairs", network.minus(good, closure.pairs_without_reference(phase)))
-    run.keep("loop_errors", closure.loop_errors(closure.loop_phase(packed, kept), phase, kept))
+    noref = network.minus(closure.pairs_without_reference(phase), t["bad"])
+    third = run.keep("referenced_loops", closure.referenced_loop_rms(closure.loop_phase(packed, kept), phase, kept))
+    bad3 = closure.bad_pairs(third, limit)
+    bad = run.keep("bad_pairs", network.merged(t["bad"], bad1, removed, noref, bad3))
+    run.keep("loop_flags", closure.loop_flags(loops, bad1, removed, noref, bad3, closure.remaining_candidates(third, bad, limit)))
+    last = network.triangles(run.keep("good_pairs", network.minus(pairs, bad)))
+    run.keep("loop_errors", closure.loop_errors(closure.loop_phase(packed, last), phase, last))
 
 
 def inversion(run: Run) -> None:
@@ -112,7 +121,7 @@ def masking(run: Run) -> None:
     for df in (raster.coherence_mean(t["obs"]), t["counts"], closure.gap_counts(t["gap"]), closure.longest_run(t["gap"], run.years), t["noloop"], t["loop_errors"], t["inverted"].select("y", "x", "resid_rms"), t["vstd"], t["stc"]):
         stats = stats.join(df, ["y", "x"], "left")
     stats = run.keep("stats", stats)
-    limits, changed = decide.adjusted(stats, run.settings.thresholds)
+    limits, changed = decide.adjusted(stats, run.settings.thresholds or default_thresholds(run.sensor, len(run.years)))
     run.notes["adjusted"] = ",".join(changed)
     run.keep("board", decide.mask_board(stats, limits))
 
@@ -122,7 +131,7 @@ def filtering(run: Run) -> None:
     mask_ = t["board"].select("y", "x", "mask")
     flat = run.keep("flat", detrend.detrended(t["cum"], detrend.coefficients(t["cum"], "1", mask=mask_), "1").drop("trend"))
     north, east = run.grid.spacing_m()
-    run.keep("cum_filtered", smooth.filtered(flat, t["epochs"], s.smooth_years, s.smooth_km * 1000 / north, s.smooth_km * 1000 / east))
+    run.keep("cum_filtered", smooth.filtered(flat, t["epochs"], s.smooth_years or smooth.default_width(t["epochs"]), s.smooth_km * 1000 / north, s.smooth_km * 1000 / east))
     run.keep("velocity", decide.apply_mask(series.velocity(t["cum_filtered"]), t["board"]))
     export.write_stack(f"{run.folder}/store", t["cum_filtered"], run.notes, {"velocity": t["velocity"]})
 

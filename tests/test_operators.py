@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slantstack.functions import scalar as S
-from slantstack.model import Box, Grid, Sensor, Thresholds, parse_geo_range, parse_line, parse_point, parse_range, readable_size
+from slantstack.model import Box, Grid, Sensor, Thresholds, parse_geo_range, parse_line, parse_point, parse_range
 from slantstack.operators import closure, correct, decide, detrend, invert, los, network, raster, series, smooth
 
 
@@ -61,7 +61,6 @@ def test_geo_forms():
         parse_point("10/4", 10, 10)
     with pytest.raises(ValueError):
         parse_geo_range("20/21/40/41", g)
-    assert [readable_size(n) for n in (5, 2048, 3 * 1024**3)] == ["5B", "2.0KB", "3.0GB"]
     assert Sensor().band == "C" and Sensor(1.27e9).band == "L"
 
 
@@ -288,11 +287,35 @@ def test_scalars(spark):
     got = df.select(S.clean(F.col("v")), S.variance(F.col("c"))).collect()
     assert [r[0] for r in got] == [None, None, 2.0]
     assert abs(got[0][1] - (1 - 0.99**2) / (2 * 0.99**2)) < 1e-12 and abs(got[1][1] - (1 - 1e-4) / 2e-4) < 1e-6 and got[2][1] is None
-    sizes = spark.createDataFrame([(5,), (2048,), (3 * 1024**3,)], "n long").select(S.human_size(F.col("n"))).collect()
-    assert [r[0] for r in sizes] == ["5B", "2.0KB", "3.0GB"]
+    sizes = spark.createDataFrame([(0,), (5,), (2048,), (1_234_567,), (3 * 1024**3,), (1024**6 + 1024**5 // 8,)], "n long").select(S.human_size(F.col("n"))).collect()
+    assert [r[0] for r in sizes] == ["0B", "5.0B", "2.0KB", "1.18MB", "3.0GB", "1.0EB"]
 
 
 def test_empty_inputs(spark):
     c = cube(spark, {(0, 0): [1.0]}).limit(0)
     assert series.velocity(c).count() == 0 and series.spatial_rms(c, 3).count() == 0
     assert raster.block_means(image(spark, [[1]]).limit(0), 1, 1, Grid(1, 1)).count() == 0
+
+
+def test_zoom_levels_have_their_upper_edges(spark):
+    sizes = [1.0, 5.0, 5.1, 10.0, 20.0, 40.0, 80.0, 160.0, 160.1]
+    got = spark.createDataFrame([(v,) for v in sizes], "m double").select(S.zoom_level(F.col("m"))).collect()
+    assert [r[0] for r in got] == [17, 17, 16, 16, 15, 14, 13, 12, 11]
+
+
+def test_default_thresholds():
+    from slantstack.model import LIGHT_SPEED, default_thresholds
+
+    assert default_thresholds(Sensor(), 43) == Thresholds(coh_avg=0.05, n_unw=64.0, max_run=1.0, vstd=100.0, n_gap=10.0, stc=5.0, n_noloop=50.0, n_loop_err=5.0, resid_rms=2.0)
+    assert default_thresholds(Sensor(LIGHT_SPEED / 0.24), 43) == Thresholds(coh_avg=0.01, n_unw=43.0, max_run=1.0, vstd=200.0, n_gap=1.0, stc=10.0, n_noloop=50.0, n_loop_err=1.0, resid_rms=10.0)
+
+
+def test_loop_flags_by_precedence(spark):
+    pairs = pairs_of(spark, [(k, k + 1) for k in range(12)] + [(k, k + 2) for k in range(11)])
+    loops = network.triangles(pairs)
+    of = {r["l"]: {r["p12"], r["p23"], r["p13"]} for r in loops.collect()}
+    ps = lambda *p: spark.createDataFrame([(x,) for x in p], "p int")
+    lists = [{0}, {0, 2}, {2, 4}, {4, 6}, {6, 8}]
+    got = {r["l"]: r["flag"] for r in closure.loop_flags(loops, *(ps(*x) for x in lists)).collect()}
+    want = {l: next((m for m, x in zip(("*", "+", "**", "***", "/"), lists, strict=True) if x & p), "") for l, p in of.items()}
+    assert got == want and set(want.values()) == {"*", "+", "**", "***", "/", ""}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slantstack.model import Box, Grid, Sensor, Settings, Thresholds
-from slantstack.plans.pipeline import Pipeline, Run, with_overrides
+from slantstack.plans.pipeline import Pipeline, Run, check_loops, with_overrides
 from slantstack.plans.stack import COEF, Stack
 from slantstack.sources import export, flat, texts
 from slantstack.streaming import ingest
@@ -111,3 +111,23 @@ def test_pipeline(spark, tmp_path):
     assert s.loop_rms == 2.5 and s.gamma == 1e-4
     with pytest.raises(ValueError):
         with_overrides(Settings(), {"none": "1"})
+
+
+def test_only_the_third_pass_removes_a_pair(spark, tmp_path):
+    """Pair 3 is a cycle off everywhere but at the reference, which a median can't tell: only the pass against the reference can."""
+    pairs = [(0, 1), (1, 2), (2, 3), (0, 2), (1, 3), (3, 4)]
+    rows = []
+    for x in range(40):
+        for p, (i, j) in enumerate(pairs):
+            at_ref = x == 7
+            ph = 0.1 * (j - i) + 0.01 * ((x + p) % 3) + (6.283185307179586 if p == 3 and not at_ref else 0.0)
+            rows.append((0, x, p, ph if p < 5 or at_ref else None, 0.5))
+    tables = {"epochs": spark.createDataFrame([(t, 0.1 * t) for t in range(5)], "t int, yr double"), "pairs": spark.createDataFrame([(p, i, j) for p, (i, j) in enumerate(pairs)], "p int, i int, j int"), "obs": spark.createDataFrame(rows, "y int, x int, p int, ph double, coh double"), "bad": spark.createDataFrame([], "p int")}
+    run = Run(tables, Grid(40, 1), Sensor(), str(tmp_path / "run"))
+    check_loops(run)
+    assert run.notes["ref"] == "7:8/0:1"
+    assert {r["p"] for r in run.tables["bad_pairs"].collect()} == {0, 3}
+    assert {r["flag"] for r in run.tables["loop_flags"].collect()} == {"***", "/"}  # pair 1 of the bad loop remains a candidate
+    removed = Run(tables | {"removed": spark.createDataFrame([(4,)], "p int")}, Grid(40, 1), Sensor(), str(tmp_path / "again"))
+    check_loops(removed)
+    assert {r["p"] for r in removed.tables["bad_pairs"].collect()} == {0, 1, 3, 4}
