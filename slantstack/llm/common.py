@@ -119,20 +119,29 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Rows of ``counts`` (durable; column n) whose n reaches a level that at most ``most`` rows reach.
+def frequent(counts: DataFrame, most: int, key: str) -> DataFrame:
+    """The ``most`` rows of ``counts`` (durable; columns n and ``key``) with the greatest n, ties in order of the key's hash.
 
-    The level comes from a histogram of 64 steps a doubling, so the driver never gets more than ``most`` rows, whereas a
-    sorted limit sends it that many from every partition.
+    A level of n comes from a histogram of 64 steps a doubling; the rows of the step at the limit are told apart by n and
+    then by ever longer prefixes of their hash. So the driver never gets more than ``most`` rows, whereas a sorted limit
+    sends it that many from every partition.
     """
-    step = F.floor(F.log2("n") * 64).cast("int")
-    level = None
-    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
-        most -= r["count"]
-        if most < 0:
+    hashed = F.xxhash64(key)
+    orders = [-F.floor(F.log2("n") * 64).cast("long"), -F.col("n"), *(F.shiftrightunsigned(hashed, 64 - b).bitwiseAND(F.lit(1023)) for b in (10, 20, 30, 40, 50, 60))]
+    kept, open_ = F.lit(False), F.lit(True)
+    for order in orders:
+        cut = None
+        for r in sorted(counts.where(open_).groupBy(order.alias("step")).count().collect()):
+            if r["count"] > most:
+                cut = r["step"]
+                break
+            most -= r["count"]
+        if cut is None:
+            return counts.where(kept | open_)
+        kept, open_ = kept | (open_ & (order < cut)), open_ & (order == cut)
+        if not most:
             break
-        level = r["step"]
-    return counts.where(step >= level) if level is not None else counts.limit(0)
+    return counts.where(kept)
 
 
 def spare(df: DataFrame, stem: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, durable, frequent, sliced, small_batches
+from .common import LOWER_BYTES, discard, durable, frequent, sliced, small_batches
 
 CLASSES, MEMBERS, RARE, HIDDEN, SIDE = 32, 32, 64, 16, 2
 TOKENS, PAD = CLASSES * MEMBERS, CLASSES * MEMBERS
@@ -55,7 +55,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vocabulary(docs: DataFrame, text_col: str = "text") -> dict[bytes, int]:
     """Tokens of the most frequent words of all documents, by count, then word."""
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = sorted(frequent(durable(counts, "words"), TOKENS - RARE).collect(), key=lambda r: (-r["n"], r["word"]))
+    counted = durable(counts, "words")
+    top = sorted(frequent(counted, TOKENS - RARE, "word").collect(), key=lambda r: (-r["n"], r["word"]))
+    discard(counted)
     return {r["word"].encode(): i for i, r in enumerate(top)}
 
 

@@ -615,20 +615,95 @@ def test_cutting():
     assert "".join(c.cut("zzqqx")) == "zzqqx" and c.cut("") == ()
 
 
-def test_bayes_blocks_what_it_learned(spark):
-    good = [(k, f"http://news{k % 7}.example.com/en/{k}", "<p>news of the day</p>") for k in range(200)]
-    bad = [(1000 + k, f"http://cheappills{k % 3}.example.com/win/{k}", "<b>cheap pills</b>") for k in range(40)]
-    pages = spark.createDataFrame(good + bad, "page_id long, url string, html string")
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, []).collect()}
-    assert all(got[k] == "allow" for k, _, _ in good) and all(got[k] == "block" for k, _, _ in bad)
+def test_viterbi_against_all_cuts():
+    r = random.Random(1)
+    counts = {"".join(r.choice("abc") for _ in range(r.randint(1, 4))): r.randint(1, 50) for _ in range(25)}
+    cutter = url_filter.Cutter(counts)
+    cost = lambda words: sum(cutter.logs.get(w, cutter.unknown - 2.3 * len(w)) for w in words)
 
+    def cuts(name):
+        yield (name,)
+        for i in range(1, len(name)):
+            for rest in cuts(name[i:]):
+                yield (name[:i], *rest)
 
-def test_frequent(spark):
-    from slantstack.llm.common import frequent
+    for _ in range(60):
+        name = "".join(r.choice("abcd") for _ in range(r.randint(1, 9)))
+        got = cutter.cut(name)
+        assert "".join(got) == name and abs(cost(got) - max(map(cost, cuts(name)))) < 1e-9
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def brute_bayes(urls, cutter):
+    """Rules and naive Bayes in plain loops: (rule, verdict) of each url."""
+    parts, examples = [], []
+    for u in urls:
+        m = re.match(r"[^:]*?://([^/?#]*)([^?#]*)", u or "", re.S)
+        host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
+        fits = [(len(h + p), h, p, act) for act, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = max(fits) if fits else None
+        parts.append((host, path, rule))
+        if rule:
+            examples.append((rule[3] == "block", url_filter.features(cutter, host[: len(host) - len(rule[1])], path[len(rule[2]) :])[1]))
+    tables = [Counter(t for bad, ts in examples if bad is kind for t in ts) for kind in (False, True)]
+    known = set(tables[0]) | set(tables[1])
+    out = []
+    for host, path, rule in parts:
+        z = [np.log(sum(bad is kind for bad, _ in examples) + 1) + sum(np.log((tables[kind][t] + 1) / (tables[kind].total() + len(known) + 1)) for t in url_filter.features(cutter, host, path)[1] if t in known) for kind in (False, True)]
+        out.append((f"{rule[1]}{rule[2]}" if rule else None, rule[3] if rule else "block" if z[1] > z[0] else "allow", 1 / (1 + np.exp(z[0] - z[1]))))
+    return out
+
+
+def test_url_filter_against_plain_loops(spark):
+    r = random.Random(2)
+    hosts = [f"{r.choice(['www.', 'm.', 'blog.', ''])}{r.choice(['red', 'blue', 'fish'])}{r.choice(['cat', 'dog'])}.{d}" for d in ("example.net", "example.com", "example.org", "other.net", "my.org") for _ in range(8)]
+    urls = [f"https://{r.choice(hosts).upper() if r.random() < 0.1 else r.choice(hosts)}/{r.choice(['en', 'de', 'fr', 'es'])}/{r.choice(['news', 'shop', 'x9'])}{r.choice(['', '?q=/en/', '#a'])}" for _ in range(400)] + [None, "", "no url", "http://", "x://net/", "x://net", "a://" + "long" * 3000 + ".org/x", "http://b\u00fccher.example.com/\u00e9"]
+    pages = spark.createDataFrame([(k if k % 50 else None, u, f"<p>red blue fish cat dog news {k}</p>", "c") for k, u in enumerate(urls)], "page_id long, url string, html string, host string")
+    pages = pages.unionAll(pages.where("page_id < 3"))
+    cutter = url_filter.Cutter(url_filter.lexicon(pages, "url", "html"))
+    every = [r_["url"] for r_ in pages.select("url").collect()]
+    want = dict(zip(every, brute_bayes(every, cutter), strict=True))
+    got = url_filter.judge(pages.withColumnRenamed("host", "rule"), RULES).collect()
+    assert len(got) == len(every) and sum(r_["page_id"] is None for r_ in got) == sum(k % 50 == 0 for k in range(len(urls)))
+    by = {r_["page_id"]: r_ for r_ in got}
+    for k, u in enumerate(urls):
+        if k % 50:
+            assert (by[k]["rule"], by[k]["verdict"]) == want[u][:2] and abs(by[k]["p_block"] - want[u][2]) < 1e-6
+    assert url_filter.judge(pages.limit(0), RULES).count() == 0
+    assert {r_["verdict"] for r_ in url_filter.judge(pages, []).collect()} == {"allow"}
 
-    counts = spark.createDataFrame([(f"w{k}", k + 1) for k in range(50)] + [("tie", 50)], "word string, n long")
-    got = {r["word"] for r in frequent(counts, 10).collect()}
-    assert len(got) <= 10 and {"w49", "tie"} <= got and frequent(counts, 1).count() == 0 and frequent(counts.limit(0), 5).count() == 0
+
+def test_url_filter_held_out(spark):
+    """Pages that a rule decides, learned from four fifths of them: what the rest of the url tells of the others' rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    counts, totals, table = url_filter.train(pages.where("page_id % 5 <> 0"), RULES)
+    held = url_filter.judge(pages.where("page_id % 5 = 0"), RULES).select("rule", "verdict", "host", "path").where("rule is not null").collect()
+
+    class Shared:
+        value = (counts, totals, table)
+
+    import pyarrow as pa
+
+    rest = [(r_["host"][: len(r_["host"]) - len(h)], r_["path"][len(p) - 1 :]) for r_ in held for h, _, p in [r_["rule"].partition("/")]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rest))), pa.array([h for h, _ in rest]), pa.array([p for _, p in rest]), *[pa.nulls(len(rest), pa.string())] * 2], names=["page_id", "host", "path", "rule", "action"])
+    p = next(url_filter._judge(Shared)(iter([batch]))).column(6).to_pylist()
+    right = np.mean([(x > 0.5) == (r_["verdict"] == "block") for x, r_ in zip(p, held, strict=True)])
+    common = np.mean([r_["verdict"] == "block" for r_ in held])
+    print("held out", right, "most common", max(common, 1 - common), len(held))
+    assert right >= max(common, 1 - common)
+
+
+def test_frequent(spark):
+    from slantstack.llm.common import durable, frequent
+
+    counts = durable(spark.createDataFrame([(f"w{k}", k + 1) for k in range(50)] + [("tie", 50)] + [(f"t{k}", 7) for k in range(3000)], "word string, n long"), "counts")
+    top = lambda most: {r_["word"] for r_ in frequent(counts, most, "word").collect()}
+    assert top(0) == set() and len(top(1)) == 1 and top(1) < {"w49", "tie"} and top(10) == {"tie", *(f"w{k}" for k in range(41, 50))}
+    for most in (45, 960, 3000, 3050):
+        assert len(top(most)) == most and top(44) < top(most)
+    assert top(10**6) == {r_["word"] for r_ in counts.collect()} and frequent(counts.limit(0), 5, "word").count() == 0
 
 
 @pytest.mark.parametrize("marks", [".,", ".", ""])
