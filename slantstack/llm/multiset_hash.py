@@ -1,16 +1,18 @@
 """Document fingerprints: a homomorphic multiset hash, the sum of wide vectors hashed from paragraphs.
 
-A paragraph (a line, or a sentence of one: long lines are cut after ". ") hashes to ``WIDTH`` signs; a document's
-fingerprint is the sum of its paragraphs' vectors modulo 2^16, so the order of paragraphs doesn't matter, and a
-paragraph is inserted or deleted by adding or subtracting its vector (``insert``, ``delete``). Two fingerprints' squared
-distance over WIDTH estimates how many paragraphs are in one only, which gives ``likeness``:
-1 - |a-b|^2 / (|a|^2+|b|^2), at least 0; 1 for equal fingerprints.
+A paragraph (a line, or a sentence of one: long lines are cut after ". ") hashes to 128 bits. A document's fingerprint is the
+sum of its paragraphs' vectors: the digest as ``WIDE`` lanes modulo 2^64, and its bits as ``WIDTH`` signs modulo 2^32. So the
+order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector (``insert``,
+``delete``). The wide lanes tell multisets apart whatever a paragraph's count below 2^64; the signs hold counts up to 2^31. Two
+fingerprints' squared distance of signs over WIDTH estimates how many paragraphs are in one only, which gives ``likeness``:
+1 - |a-b|^2 / (|a|^2+|b|^2), at least 0; 1 for equal fingerprints, less than 1 for others.
 
 ``edited`` needs the document that follows in descending id. Documents are dealt into ranges of ids, and the first
 document of a range also goes to the range before, so texts are shuffled once and each task reads its range as a stream.
 Ranges are quantiles of the ids; the driver holds one id of each range.
 
-Defined results. Null text: empty. A single document is followed by itself. Equal ids follow each other by text. Rows
+Defined results. Ids are integers, or text that holds one. Null text: empty. Very long texts: paragraphs are hashed 65,536 at a
+time; a row's text and its follower's are held at once. A single document is followed by itself. Equal ids follow each other by text. Rows
 without an id come last. Empty table: empty result. Other columns are ignored.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,39 +31,60 @@ from pyspark.sql import functions as F
 
 from .common import sliced, small_batches
 
-WIDTH, MAX_RANGES = 128, 4096
+WIDTH, WIDE, MAX_RANGES = 128, 2, 4096
+#: Likeness of fingerprints that differ, at most.
+UNEQUAL = 1.0 - 2.0**-40
 
 
 def paragraphs(text: str) -> list[bytes]:
     return [p for p in text.encode().replace(b". ", b".\n").split(b"\n") if p]
 
 
-def fingerprint(text: str) -> np.ndarray:
+class Fingerprint(NamedTuple):
+    wide: np.ndarray  # uint64
+    signs: np.ndarray  # uint32
+
+    def __add__(self, other: "Fingerprint") -> "Fingerprint":
+        return Fingerprint(self.wide + other.wide, self.signs + other.signs)
+
+    def __sub__(self, other: "Fingerprint") -> "Fingerprint":
+        return Fingerprint(self.wide - other.wide, self.signs - other.signs)
+
+    def __eq__(self, other) -> bool:
+        return bool((self.wide == other.wide).all() and (self.signs == other.signs).all())
+
+    def __ne__(self, other) -> bool:
+        return not self == other
+
+
+def fingerprint(text: str) -> Fingerprint:
     parts = paragraphs(text)
-    total = np.zeros(WIDTH, np.int64)
+    wide, signs = np.zeros(WIDE, np.uint64), np.zeros(WIDTH, np.int64)
     for i in range(0, len(parts), 65536):
         digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in parts[i : i + 65536]]), np.uint8).reshape(-1, WIDTH // 8)
-        total += 2 * np.unpackbits(digests, axis=1).sum(0, dtype=np.int64) - len(digests)
-    return total.astype(np.uint16)
+        wide += digests.view(np.uint64).sum(0, dtype=np.uint64)
+        signs += 2 * np.unpackbits(digests, axis=1).sum(0, dtype=np.int64) - len(digests)
+    return Fingerprint(wide, signs.astype(np.uint32))
 
 
-def insert(fp: np.ndarray, paragraph: str) -> np.ndarray:
+def insert(fp: Fingerprint, paragraph: str) -> Fingerprint:
     return fp + fingerprint(paragraph)
 
 
-def delete(fp: np.ndarray, paragraph: str) -> np.ndarray:
+def delete(fp: Fingerprint, paragraph: str) -> Fingerprint:
     return fp - fingerprint(paragraph)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    if (a == b).all():
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    if a == b:
         return 1.0
-    x, y = a.astype(np.int16).astype(np.float64), b.astype(np.int16).astype(np.float64)
-    return max(0.0, 1.0 - float(((a - b).astype(np.int16).astype(np.float64) ** 2).sum()) / float((x**2).sum() + (y**2).sum()))
+    x, y = (f.signs.astype(np.int32).astype(np.float64) for f in (a, b))
+    size = float((x**2).sum() + (y**2).sum())
+    return min(UNEQUAL, max(0.0, 1.0 - float(((x - y) ** 2).sum()) / size)) if size else 0.0
 
 
-def as_text(fp: np.ndarray) -> str:
-    return base64.b64encode(fp.astype("<u2").tobytes()).decode()
+def as_text(fp: Fingerprint) -> str:
+    return base64.b64encode(fp.wide.astype("<u8").tobytes() + fp.signs.astype("<u4").tobytes()).decode()
 
 
 def edit(text: str, following: str) -> str:
@@ -68,7 +92,7 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _row(doc_id, text: str, fp: np.ndarray, after: str, after_fp: np.ndarray) -> tuple:
+def _row(doc_id, text: str, fp: Fingerprint, after: str, after_fp: Fingerprint) -> tuple:
     changed = edit(text, after)
     changed_fp = fingerprint(changed)
     return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), as_text(fp), as_text(changed_fp), likeness(fp, changed_fp), likeness(fp, after_fp)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from slantstack.llm import decontaminate, language_id, license_scan, line_dedup, mixing, multiset_hash, pseudo_likelihood, simhash, token_cache, url_filter
 
@@ -87,14 +88,14 @@ ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve"),
 COLUMNS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_CHARS, 60])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 2])
 def test_decontamination(spark, docs_of, block):
     texts = ["x one, TWO three-four five six seven eight nine ten. eleven y", "a short item and a SHORT  item", "one two three four five six seven eight nine", None, "", "shorts item short itemize", "caf\u00e9\tzero short item", "one two three four five six seven eight nine ten eleven twelve one two"]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = docs_of(texts)
-    got = by_id(decontaminate.report(docs, items, block_chars=block), *COLUMNS)
+    got = by_id(decontaminate.report(docs, items, block=block), *COLUMNS)
     assert got == {k: brute_hits(t, ITEMS, 10) for k, t in enumerate(texts)}
-    clean = decontaminate.without_hits(docs, items, block_chars=block)
+    clean = decontaminate.without_hits(docs, items, block=block)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [k for k in got if not got[k][4]]
 
 
@@ -104,6 +105,17 @@ def test_decontamination_spans(spark, docs_of):
     assert [text[s["begin"] : s["end"]] for s in r["spans"]] == ["Short ITEM"] and r["items"] == ["10"]
 
 
+def test_decontamination_of_long_texts_and_many_windows(spark, docs_of, prose):
+    """Texts of a million words, and items that share words, in one automaton."""
+    items = [(k, prose(30, 50 + k)) for k in range(200)]
+    long = prose(500_000, 9)
+    texts = [long, f"{long} {items[7][1]} {long}", " ".join(t for _, t in items)]
+    got = by_id(decontaminate.report(docs_of(texts), spark.createDataFrame(items, "item_id long, text string")), *COLUMNS)
+    assert got[0][0] == len(WORD.findall(long)) and not got[0][4]
+    assert got[1][:3] == (2 * got[0][0] + len(WORD.findall(items[7][1])), len(WORD.findall(items[7][1])), 1)
+    assert got[2][0] == got[2][1] and got[2][2] == 200
+
+
 def test_decontamination_edges(spark, odd):
     items = spark.createDataFrame([(None, "same text here"), (7, "a a")], "item_id long, text string")
     got = decontaminate.report(odd, items).collect()
@@ -564,15 +576,47 @@ def test_long_texts_in_line_dedup(docs_of, prose):
 # --- multiset hash -------------------------------------------------------------------------------------------------
 
 
+def brute_multiset(text):
+    """Lanes in plain integers: two sums of digest halves modulo 2^64, 128 sums of signs modulo 2^32."""
+    wide, signs = [0, 0], [0] * 128
+    for p, n in Counter(p for line in text.split("\n") for p in line.replace(". ", ".\n").split("\n") if p).items():
+        d = xxhash.xxh3_128_digest(p.encode())
+        for k in (0, 1):
+            wide[k] = (wide[k] + n * int.from_bytes(d[8 * k : 8 * k + 8], "little")) % 2**64
+        bits = [byte >> (7 - k) & 1 for byte in d for k in range(8)]
+        signs = [(x + n * (2 * bit - 1)) % 2**32 for x, bit in zip(signs, bits, strict=True)]
+    return wide, signs
+
+
 def test_multiset_hash(docs_of, prose):
     f = multiset_hash.fingerprint
     a, b, c = "First one.\nsecond here", "third", "fourth line"
-    assert (f(f"{a}\n{b}") == f(f"{b}\n{a}")).all() and (f(f"{a}\n{b}") == multiset_hash.insert(f(a), b)).all()
-    assert (multiset_hash.delete(f(f"{a}\n{b}\n{c}"), b) == f(f"{a}\n{c}")).all() and (f(f"{b}\n{b}") != f(b)).any()
+    assert f(f"{a}\n{b}") == f(f"{b}\n{a}") == multiset_hash.insert(f(a), b)
+    assert multiset_hash.delete(f(f"{a}\n{b}\n{c}"), b) == f(f"{a}\n{c}") and f(f"{b}\n{b}") != f(b)
     x, y = prose(600, 1), prose(600, 2)
     assert multiset_hash.likeness(f(x), f(x)) == 1 and multiset_hash.likeness(f(x), f(y)) < 0.35
     assert multiset_hash.likeness(f(""), f("")) == 1
     assert abs(multiset_hash.likeness(f(x), f(multiset_hash.edit(x, y))) - 0.5) < 0.25
+    for text in (x, "", f"{a}\n{b}\n{b}", "caf\u00e9. x\n\n\ny. z", "w\n" * 70_000 + "v"):
+        assert (f(text).wide.tolist(), f(text).signs.tolist()) == brute_multiset(text)
+
+
+def test_many_equal_paragraphs():
+    """Counts beyond 16 bits neither vanish nor wrap."""
+    f, line = multiset_hash.fingerprint, "x\n"
+    for n in (65_536, 100_000):
+        assert f(line * n) != f("") and multiset_hash.likeness(f(line * n), f("")) == 0
+    assert abs(multiset_hash.likeness(f(line * 45_536), f(line * 20_000)) - (1 - 25_536**2 / (45_536**2 + 20_000**2))) < 1e-9
+    assert multiset_hash.likeness(f(line * 100_000), f(line * 99_999)) < 1
+
+
+def test_fingerprints_of_nulls_equal_ids_and_clashes(spark, prose):
+    rows = [(None, prose(5, k), "a", "b") for k in range(300)] + [(7, prose(5, k % 3), "a", "b") for k in range(300)] + [(8, "x\n" * 300_000, "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string, fingerprint string")
+    got = multiset_hash.fingerprints(docs)
+    assert got.count() == 601 and got.select("fingerprint").distinct().count() == len({t for _, t, _, _ in rows})
+    text_ids = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert sorted(map(str, multiset_hash.fingerprints(text_ids).collect())) == sorted(map(str, got.collect()))
 
 
 def test_edited_texts(spark, docs_of, prose, odd):
