@@ -2,7 +2,7 @@
 
 Texts and items are lower-cased (A-Z) and cut into words; every run of ``width`` consecutive words of an item (the
 whole item if it is shorter) is a window. Words of windows are numbered, and the automaton runs over a text's sequence of word
-numbers (0 for any other word), so a window has at most ``width`` states and a match ends at a word. ``spans`` maps the words hit
+numbers (0 for any other word), where neighbours stand beside each other in some window, so a window has at most ``width`` states and a match ends at a word. ``spans`` maps the words hit
 to code points of the original text.
 
 Distinct windows and their items are found by a query; the driver gets them as one table and broadcasts it, and every worker
@@ -31,6 +31,8 @@ from .common import WORD_BYTES, sliced, small_batches, source_key
 
 #: Windows of an automaton.
 BLOCK = 1_000_000
+#: Bits of the table of neighbours, as a power of 2.
+BITS = 22
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BUILT: dict[str, "Scanner"] = {}
 
@@ -64,32 +66,57 @@ def patterns(items: DataFrame, id_col: str, text_cols: list[str], width: int, bl
 
 
 class Scanner:
-    """An automaton over word numbers and the items of its windows."""
+    """An automaton over word numbers and the items of its windows.
+
+    A match is a run of words whose neighbours are neighbours in some window. The automaton gets only such runs of a text;
+    neighbours are looked up in a bit table by hash, so a run may be too long but no match is left out.
+    """
 
     def __init__(self, table: pa.Table):
         self.items = table["items"]
         self.number: dict[bytes, int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.beside, alone, sizes = np.zeros(1 << BITS, bool), [0], set()
         for n, p in enumerate(table["window"].to_pylist()):
             key = tuple([self.number.setdefault(w, len(self.number) + 1) for w in p.split()])
             self.automaton.add_word(key, (n, len(key)))
-        if len(self.number):
+            self.beside[self._places(np.array(key))] = True
+            sizes.add(len(key))
+            if len(key) == 1:
+                alone += key
+        self.least = min(sizes, default=1)
+        self.alone = np.zeros(len(self.number) + 1, bool)
+        self.alone[alone[1:]] = True
+        if self.number:
             self.automaton.make_automaton()
 
+    @staticmethod
+    def _places(ids: np.ndarray) -> np.ndarray:
+        """Of each pair of neighbours, its bit in the table."""
+        return (((ids[:-1] << 32 | ids[1:]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+
     def hits(self, text: bytes) -> tuple[int, np.ndarray | None, set[int]]:
         """Words, which of them lie in a match (None if none does), and the windows matched."""
         w = words(text)
-        get = self.number.get
-        if not w or not self.number or not any(ids := tuple([get(x, 0) for x in w])):
+        if not w or not self.number:
             return len(w), None, set()
-        found = list(self.automaton.iter(ids))
-        if not found:
-            return len(w), None, set()
-        edge = np.zeros(len(w) + 1, np.int64)
-        for last, (_, k) in found:
-            edge[last - k + 1] += 1
-            edge[last + 1] -= 1
-        return len(w), np.cumsum(edge[:-1]) > 0, {n for _, (n, _) in found}
+        get = self.number.get
+        ids = np.array([get(x, 0) for x in w])
+        near = self.beside[self._places(ids)] & (ids[:-1] > 0) & (ids[1:] > 0)
+        run = np.zeros(len(w) + 2, np.int8)
+        run[1:-1] = self.alone[ids]
+        run[1:-2] |= near
+        run[2:-1] |= near
+        edge, found = None, set()
+        for a, b in np.flatnonzero(np.diff(run)).reshape(-1, 2).tolist():
+            if b - a < self.least:
+                continue
+            for last, (n, k) in self.automaton.iter(tuple(ids[a:b].tolist())):
+                edge = np.zeros(len(w) + 1, np.int64) if edge is None else edge
+                edge[a + last - k + 1] += 1
+                edge[a + last + 1] -= 1
+                found.add(n)
+        return len(w), None if edge is None else np.cumsum(edge[:-1]) > 0, found
 
     def items_of(self, found: set[int]) -> list[str]:
         return sorted({i for n in found for i in self.items[n].as_py()})
