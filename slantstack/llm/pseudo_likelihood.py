@@ -84,15 +84,18 @@ def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    """Down the columns, in place: sums over rows of many columns are vectorised, sums over short rows aren't."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
 
 
-def _log_softmax(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Of one column of each row."""
-    x = x - x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), column]
-    return own - np.log(np.exp(x, out=x).sum(1))
+def _log_softmax(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of one row of each column; spends ``x``."""
+    x -= x.max(0)
+    own = x[row, np.arange(x.shape[1])]
+    return own - np.log(np.exp(x, out=x).sum(0))
 
 
 def _forward(p: list[np.ndarray], around: np.ndarray):
@@ -103,17 +106,21 @@ def _forward(p: list[np.ndarray], around: np.ndarray):
     return np.tanh(h)
 
 
-def _by_class(target: np.ndarray):
-    order = np.argsort(target // MEMBERS, kind="stable")
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of positions by their token's class, and the stretch of each class in it."""
+    order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
     bounds = np.searchsorted((target // MEMBERS)[order], np.arange(CLASSES + 1))
-    return ((c, order[bounds[c] : bounds[c + 1]]) for c in range(CLASSES) if bounds[c] < bounds[c + 1])
+    return order, [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
 
 
 def log_probs(p: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
     h = _forward(p, around)
-    out = _log_softmax(h @ p[2] + p[3], target // MEMBERS)
-    for c, at in _by_class(target):
-        out[at] += _log_softmax(h[at] @ p[4][c] + p[5][c], target[at] % MEMBERS)
+    out = _log_softmax(p[2].T @ h.T + p[3][:, None], target // MEMBERS)
+    order, stretches = _by_class(target)
+    sorted_h, member, within = h[order], target[order] % MEMBERS, np.empty_like(out)
+    for c, at in stretches:
+        within[at] = _log_softmax(p[4][c].T @ sorted_h[at].T + p[5][c][:, None], member[at])
+    out[order] += within
     return out
 
 
@@ -121,14 +128,17 @@ def gradient(p: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> lis
     """Of the mean negative log-probability."""
     n, h = len(target), _forward(p, around)
     g = [np.zeros_like(x) for x in p]
-    e = _softmax(h @ p[2] + p[3])
-    e[np.arange(n), target // MEMBERS] -= 1
-    g[2], g[3], dh = h.T @ e / n, e.sum(0) / n, e @ p[2].T
-    for c, at in _by_class(target):
-        m = _softmax(h[at] @ p[4][c] + p[5][c])
-        m[np.arange(len(at)), target[at] % MEMBERS] -= 1
-        g[4][c], g[5][c] = h[at].T @ m / n, m.sum(0) / n
-        dh[at] += m @ p[4][c].T
+    e = _softmax(p[2].T @ h.T + p[3][:, None])
+    e[target // MEMBERS, np.arange(n)] -= 1
+    g[2], g[3], dh = (e @ h).T / n, e.sum(1) / n, e.T @ p[2].T
+    order, stretches = _by_class(target)
+    sorted_h, member, within = h[order], target[order] % MEMBERS, np.empty_like(h)
+    for c, at in stretches:
+        m = _softmax(p[4][c].T @ sorted_h[at].T + p[5][c][:, None])
+        m[member[at], np.arange(m.shape[1])] -= 1
+        g[4][c], g[5][c] = (m @ sorted_h[at]).T / n, m.sum(1) / n
+        within[at] = m.T @ p[4][c].T
+    dh[order] += within
     dh *= (1 - h * h) / n
     g[1] = dh.sum(0)
     for k in range(2 * SIDE):
@@ -192,7 +202,8 @@ def _scorer(shared):
             sums, held, owner, size = np.zeros(len(ids)), [], [], 0
 
             def flush():
-                lp = log_probs(p, np.concatenate([a for a, _ in held], axis=1), np.concatenate([t for _, t in held]))
+                around, target = np.concatenate([a for a, _ in held], axis=1), np.concatenate([t for _, t in held])
+                lp = np.concatenate([log_probs(p, around[:, i : i + BATCH], target[i : i + BATCH]) for i in range(0, len(target), BATCH)])
                 np.add.at(sums, np.array([o for o, _ in owner]), np.add.reduceat(lp.astype(np.float64), np.cumsum([0, *(n for _, n in owner[:-1])])))
                 held.clear()
                 owner.clear()
