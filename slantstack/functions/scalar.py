@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,3 +133,19 @@ def track(frame: Column) -> Column:
 
 def frame_id(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(\d{3}[AD]_\d{5}_\d{6})", 1), F.lit(""))
+
+
+def with_parameter(text: Column, key: str, old: str, new: str) -> Column:
+    """A parameter file's text with ``key: old`` as ``key: new``. What follows the old value stays: decimals, units."""
+    return F.regexp_replace(text, re.escape(key) + r":\s*" + re.escape(old), f"{key}: {new}".replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def range_ends(text: Column) -> Column:
+    """x1, x2, y1, y2 of ``x1:x2/y1:y2``, a string or its UTF-8 bytes."""
+    parts = F.split(text.cast("string"), "[:/]")
+    return F.struct(*[F.get(parts, F.lit(k)).cast("int").alias(n) for k, n in enumerate(("x1", "x2", "y1", "y2"))])
+
+
+def output_name(name: Column, kind: str) -> Column:
+    """Name of a result beside the velocity's: ``vel`` becomes the kind (vstd, amp, dt)."""
+    return F.replace(name, F.lit("vel"), F.lit(kind))

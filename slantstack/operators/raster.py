@@ -29,6 +29,11 @@ def mask_box(df: DataFrame, boxes: list[Box], value: str = "v") -> DataFrame:
     return df.withColumn(value, F.when(~hit, F.col(value)))
 
 
+def with_data(packed: DataFrame, values: str) -> DataFrame:
+    """Packed pixels without those whose values are all NULL."""
+    return packed.where(F.exists(values, lambda v: v.isNotNull()))
+
+
 def clip(df: DataFrame, box: Box) -> DataFrame:
     """Rows inside a box, counted from its corner; the filter reaches the scan."""
     return df.where(S.inside(box)).withColumn("y", F.col("y") - box.y1).withColumn("x", F.col("x") - box.x1)

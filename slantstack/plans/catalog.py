@@ -297,6 +297,24 @@ def _(st):
     return st.epochs.select("t", S.human_size(F.pow(F.lit(3.0), c("t"))).alias("size"))
 
 
+@query("str06_parameter_rewrite", r" SELECT pid, regexp_replace(regexp_replace('width:   ' || pid || chr(10) || 'nlines: 12' || chr(10) || 'corner_lat: 41.0000 degrees', 'width:\s*10', 'width: 4', 'g'), 'corner_lat:\s*41\.0', 'corner_lat: 40.9', 'g') AS text FROM points")
+def _parameter_rewrite(st):
+    text = F.concat(F.lit("width:   "), c("pid").cast("string"), F.lit("\nnlines: 12\ncorner_lat: 41.0000 degrees"))
+    return st.points.select("pid", S.with_parameter(S.with_parameter(text, "width", "10", "4"), "corner_lat", "41.0", "40.9").alias("text"))
+
+
+@query("str08_reference_box", " SELECT pid, CAST(pid % 7 AS INT) AS x1, CAST(pid % 7 + 2 AS INT) AS x2, CAST(pid % 5 AS INT) AS y1, CAST(pid % 5 + 1 AS INT) AS y2 FROM points")
+def _reference_box(st):
+    text = F.format_string("%d:%d/%d:%d", c("pid") % 7, c("pid") % 7 + 2, c("pid") % 5, c("pid") % 5 + 1)
+    return st.points.select("pid", S.range_ends(F.encode(text, "UTF-8")).alias("b")).select("pid", "b.*")
+
+
+@query("str09_output_names", " SELECT name, name || '.vstd' AS vstd, name || '.amp' AS amp, name || '.dt' AS dt FROM names")
+def _output_names(st):
+    vel = F.concat("name", F.lit(".vel"))
+    return st.pair_names.select("name", *[S.output_name(vel, k).alias(k) for k in ("vstd", "amp", "dt")])
+
+
 @query("str01_pair_dates", "SELECT name, CAST(d1 AS VARCHAR) AS d1, CAST(d2 AS VARCHAR) AS d2, CAST(date_diff('day', d1, d2) AS INT) AS days, CAST(dayofyear(d1) - 1 AS INT) AS offset_day FROM names")
 def _(st):
     n = st.pair_names.select("name", S.primary_date(c("name")).alias("d1"), S.secondary_date(c("name")).alias("d2"))
@@ -329,6 +347,12 @@ def _(st):
     return st.obs.groupBy("y", "x").agg(F.count("ph").alias("n")).where(c("n") > int(2.65 * len(st.epoch_rows)))
 
 
+@query("flt07_pixels_with_data", " SELECT y, x, count(ph) AS n FROM obs WHERE (x + y) % 4 <> 0 GROUP BY y, x HAVING count(ph) > 0")
+def _with_data(st):
+    holes = st.obs.withColumn("ph", F.when((c("x") + c("y")) % 4 != 0, c("ph")))
+    return raster.with_data(closure.pack(holes, len(st.pair_rows)), "ph").select("y", "x", F.size(F.filter("ph", lambda v: v.isNotNull())).cast("long").alias("n"))
+
+
 @query("flt08_first_epoch_valid", "SELECT y, x, count(*) AS n FROM cum WHERE (y, x) IN (SELECT (y, x) FROM cum WHERE t = 0 AND d IS NOT NULL) GROUP BY y, x")
 def _(st):
     packed = series.pack_series(st.cum, 28).where(F.get("d", F.lit(0)).isNotNull())

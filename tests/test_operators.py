@@ -139,6 +139,25 @@ def test_inversion_equals_lstsq(spark):
         assert np.allclose(got[k], want[:5], atol=1e-6)
 
 
+def test_weighted_inversion_equals_lstsq():
+    """Pixels of a pattern are solved together, in stacks; the result is each pixel's own weighted least squares."""
+    rng = np.random.default_rng(6)
+    d, var = rng.normal(size=(600, len(NET))), rng.uniform(0.01, 5, (600, len(NET)))
+    d[rng.random(600) < 0.5, 2] = np.nan
+    d[rng.random(d.shape) < 0.02] = np.nan
+    d[5], var[7, 0], d[7, 0] = np.nan, np.nan, 1.0
+    a = invert.design(NET, [0.2 * t for t in range(6)], 1e-4)
+    got, m = invert.solve_weighted(d, var, a), len(NET)
+    for k in range(600):
+        ok = ~np.isnan(d[k])
+        if k in (5, 7):
+            assert np.isnan(got[k]).all()
+            continue
+        rows = np.concatenate((a[:m][ok] / np.sqrt(var[k][ok])[:, None], a[m:] / np.sqrt(invert.CONSTRAINT_VARIANCE)))
+        want = np.linalg.lstsq(rows, np.concatenate((d[k][ok] / np.sqrt(var[k][ok]), np.zeros(6))), rcond=None)[0]
+        assert np.allclose(got[k], want, rtol=1e-6, atol=1e-6)
+
+
 def test_pixels_without_data(spark):
     k = packed(spark, {(0, 0): [None] * len(NET), (0, 1): [1.0] * len(NET)}, len(NET))
     inv = invert.invert(k, pairs_of(spark, NET), [0.2 * t for t in range(6)])
