@@ -18,12 +18,14 @@ Only distinct fingerprints are linked, so exact copies are never expanded into p
 ``keep_one`` also links texts with ``similarity`` of their five-word shingles in common. Candidates come from prefixes:
 in any order of all shingles, two such texts share one of their first n - ceil(similarity n) + 1 (``prefix``), so none is
 lost, whatever their length. The order is by hash, with shingles common among prefixes last; texts that share a passage
-only meet there if little else is in them. What meets is compared on the whole sets of shingle hashes. Shingles that more
-than ``crowd`` texts hold even so bind these to cohorts: each text is compared with the most typical one of its cohort,
+only meet there if little else is in them. Of what meets, only pairs are compared that can still be similar by the number
+of shingles they share in their prefixes and by what may follow (``possible``); they are compared on the whole sets of
+shingle hashes, which the texts are scanned for again. Shingles that more than ``crowd`` texts hold even so bind these to cohorts: each text is compared with the most typical one of its cohort,
 and where that leaves several components, all pairs of different components are compared in blocks of ``BLOCK`` texts.
 
 Bounds: common shingles are broadcast (eight bytes each; at most the prefixes' length over ``crowd``). A cohort that
-doesn't fall to one component costs (its texts)^2 / BLOCK rows: that is the price of comparing all of it.
+doesn't fall to one component costs (its texts)^2 / BLOCK rows: that is the price of comparing all of it. What is wanted
+of the texts is broadcast as a byte each, for the scan.
 
 Defined results. Null, empty and blank texts: fingerprint 0, linked like any other. Fewer words than a shingle: one
 shingle of all words. Repeated rows and equal ids: a result each. A component whose ids are all null has a null
@@ -51,6 +53,8 @@ _SLICE = 65_536
 BLOCK, COLUMNS = 256, 8192
 #: Bytes of a shingle's hash in the sets that are compared.
 KEPT = 5
+#: Bits of one row of Spark's bitmaps, and bits for each text in the filter of a scan.
+BITMAP, FILTER = 32_768, 8
 
 
 def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
@@ -177,6 +181,25 @@ def prefix(distinct: np.ndarray, similarity: float, common: np.ndarray | None =
     return distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]
 
 
+def place(keys: np.ndarray, common: np.ndarray | None = None) -> int:
+    """Where a prefix ends in the order of all shingles: never falls along it."""
+    if not len(keys):
+        return 0
+    return int(keys[-1] >> np.uint64(2)) + (1 << 62 if common is not None and np.isin(keys[-1], common) else 0)
+
+
+def possible(similarity: float):
+    """Whether a and b can be similar: columns shared (shingles in both prefixes), last (place of the last of these in the
+    own prefix), n and end, each of the latter as a and b.
+
+    Behind the last shared shingle and behind the prefix that ends first, no more shingles can be common than either has left.
+    """
+    left = {c: F.col(f"n{c}") - F.col(f"last{c}") - 1 for c in "ab"}
+    rest = {c: F.ceil(similarity * F.col(f"n{c}") - 1e-9) - 1 for c in "ab"}
+    behind = F.when(F.col("enda") < F.col("endb"), rest["a"]).when(F.col("endb") < F.col("enda"), rest["b"]).otherwise(F.greatest(rest["a"], rest["b"]))
+    return F.col("shared") + F.least(left["a"], left["b"], behind) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+
+
 def to_bytes(distinct: np.ndarray) -> bytes:
     """The top ``KEPT`` bytes of each hash: that two different shingles agree in them has a chance of one in 2^40."""
     return np.unique(distinct >> np.uint64(64 - 8 * KEPT)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes()
@@ -208,20 +231,23 @@ def _profiler(k: int, similarity: float):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 128):
             sets = [distinct_shingles(t, k) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([majority([x]) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _signed([prefix(x, similarity) for x in sets])], names=["doc_id", "key", "fp", "n", "keys"])
+            keys = [prefix(x, similarity) for x in sets]
+            columns = [b.column(0), b.column(1), pa.array([majority([x]) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _signed(keys), pa.array([place(x) for x in keys], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "n", "keys", "end"])
 
     return profile
 
 
 def _reorderer(k: int, similarity: float, shared):
-    """doc_id, key, text -> doc_id, key, n, keys and the share of common shingles."""
+    """doc_id, key, text -> doc_id, key, n, keys, end and the share of common shingles."""
 
     def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 128):
             sets = [distinct_shingles(t, k) for t in b.column(2).cast(pa.binary()).to_pylist()]
             share = [float(np.isin(x, shared.value, assume_unique=True).mean()) if len(x) else 0.0 for x in sets]
-            keys = _signed([prefix(x, similarity, shared.value) for x in sets])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), keys, pa.array(share, pa.float64())], names=["doc_id", "key", "n", "keys", "typical"])
+            keys = [prefix(x, similarity, shared.value) for x in sets]
+            columns = [b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), _signed(keys), pa.array([place(x, shared.value) for x in keys], pa.int64()), pa.array(share, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "keys", "end", "typical"])
 
     return reorder
 
@@ -229,7 +255,8 @@ def _reorderer(k: int, similarity: float, shared):
 def _setter(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 128):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([to_bytes(distinct_shingles(t, k)) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["fp", "shingles"])
+            sets = [to_bytes(distinct_shingles(t, k)) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["doc_id", "key", "shingles"])
 
     return sets
 
@@ -271,28 +298,42 @@ def _blocks(similarity: float):
     return compare
 
 
-def similar_pairs(profiles: DataFrame, again, texts, links: DataFrame, *, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+def among(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose ``columns`` are among those of ``wanted`` (durable), and a few others: a scan with a bit filter, no shuffle."""
+    size = BITMAP * max(1, math.ceil(FILTER * wanted.count() / BITMAP))
+    at = F.pmod(F.xxhash64(*columns), F.lit(size))
+    bucket, bits, bit = (spare(rows, c) for c in ("bucket", "bits", "bit"))
+    # Spark counts bits from 1
+    marks = wanted.select((at + 1).alias(bit)).groupBy(F.bitmap_bucket_number(bit).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(bits))
+    marked = rows.withColumn(bit, at).withColumn(bucket, F.bitmap_bucket_number(F.col(bit) + 1)).join(F.broadcast(marks), bucket)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.pmod(F.floor(F.col(bit) / 8), F.lit(BITMAP // 8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.getbit(byte, F.pmod(F.col(bit), F.lit(8)).cast("int")) == 1).select(rows.columns)
+
+
+def similar_pairs(profiles: DataFrame, again, shingled, links: DataFrame, *, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """``links`` (a, b) and more of them, which connect all fingerprints whose texts are similar.
 
-    profiles: fp (distinct), n, keys (the prefix) and typical, durable; again: from the common shingles (a sorted array) to
-    such profiles in which these come last; texts: from a table of fp to their fp and text.
+    profiles: fp (distinct), n, keys (the prefix), end (its ``place``) and typical, durable; again: from the common shingles
+    (a sorted array) to such profiles in which these come last; shingled: from a durable table of fp to their fp and set of shingles.
     """
-    held = lambda: profiles.select("fp", F.explode("keys").alias("key"))
-    shared = lambda h: durable(h.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
-    counts = shared(held())
+    held = lambda: profiles.select("fp", F.posexplode("keys").alias("pos", "key"))
+    shared = lambda: durable(profiles.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
+    counts = shared()
     crowded = counts.where(F.col("m") > crowd).select("key")
     common = np.sort(crowded.toArrow()["key"].to_numpy().view(np.uint64))
     if len(common):
         # Prefixes without a common shingle stay as they are; the texts are scanned again, not shuffled.
         profiles = durable(again(common), "profiles", profiles, counts)
-        counts = shared(held())
-    meeting = durable(held().join(counts, "key").select("key", "fp", "m"), "meeting", counts)
+        counts = shared()
+    meeting = durable(held().join(counts, "key").select("key", "fp", "pos", "m"), "meeting", counts)
     few, many = meeting.where(F.col("m") <= crowd), meeting.where(F.col("m") > crowd).select("key", "fp")
-    met = few.alias("x").join(few.alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.fp") < F.col("y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    size = lambda c: profiles.select(F.col("fp").alias(c), F.col("n").alias("n" + c))
-    pairs = durable(met.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b"), "candidates")
+    met = few.alias("x").join(few.alias("y"), F.col("x.key") == F.col("y.key")).where(F.col("x.fp") < F.col("y.fp"))
+    met = met.groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max("x.pos").alias("lasta"), F.max("y.pos").alias("lastb"))
+    side = lambda c: profiles.select(F.col("fp").alias(c), F.col("n").alias("n" + c), F.col("end").alias("end" + c))
+    # Texts that share a shingle of ``many`` too are compared below, whatever they share here.
+    pairs = durable(met.join(side("a"), "a").join(side("b"), "b").where(possible(similarity)).select("a", "b"), "candidates")
     wanted = durable(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).unionAll(many.select("fp")).distinct(), "wanted")
-    sets = durable(texts(wanted).mapInArrow(_setter(shingle), "fp long, shingles binary"), "sets", wanted)
+    sets = durable(shingled(wanted), "sets", wanted)
     one = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias("s" + c))
     verified = lambda p, *spent: durable(p.join(one("b"), "b").join(one("a"), "a").select("a", "b", "sa", "sb").mapInArrow(_verifier(similarity), "a long, b long"), "similar", *spent)
     links = links.unionAll(verified(pairs, pairs))
@@ -326,7 +367,7 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_c
     """
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), source_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    prints = durable(read.mapInArrow(_profiler(shingle, similarity), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, fp long, n long, keys array<long>"), "prints")
+    prints = durable(read.mapInArrow(_profiler(shingle, similarity), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, fp long, n long, keys array<long>, end long"), "prints")
     # nulls last, then by digest; n_rows counts rows that are equal in both
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = durable(prints.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("n_rows")).groupBy("fp").agg(F.min_by(F.struct("doc_id", "key", "n_rows"), rank).alias("best")).select("fp", "best.*"), "best")
@@ -337,17 +378,20 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_c
         """A row for each fp: only rows of documents that stand there more than once need be told apart."""
         return rows.where("n_rows = 1").drop("n_rows").unionAll(rows.where("n_rows > 1").drop("n_rows").dropDuplicates(["fp"]))
 
-    profiles = durable(single(prints.drop("fp").join(named, own).select(F.col("f").alias("fp"), "n", "keys", F.lit(0.0).alias("typical"), "n_rows")), "profiles", prints)
+    profiles = durable(single(prints.drop("fp").join(named, own).select(F.col("f").alias("fp"), "n", "keys", "end", F.lit(0.0).alias("typical"), "n_rows")), "profiles", prints)
 
     def again(common: np.ndarray) -> DataFrame:
-        schema = f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, n long, keys array<long>, typical double"
+        schema = f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, n long, keys array<long>, end long, typical double"
         found = read.mapInArrow(_reorderer(shingle, similarity, docs.sparkSession.sparkContext.broadcast(common)), schema)
-        return single(found.join(named, own).select(F.col("f").alias("fp"), "n", "keys", "typical", "n_rows"))
+        return single(found.join(named, own).select(F.col("f").alias("fp"), "n", "keys", "end", "typical", "n_rows"))
 
-    def texts(fps: DataFrame) -> DataFrame:
-        return single(read.join(named.join(fps, F.col("f") == F.col("fp"), "left_semi"), own).select(F.col("f").alias("fp"), "text", "n_rows"))
+    def shingled(fps: DataFrame) -> DataFrame:
+        chosen = durable(best.join(fps, "fp", "left_semi").select("fp", "doc_id", "key", "n_rows"), "chosen")
+        found = among(read, chosen, ["doc_id", "key"]).mapInArrow(_setter(shingle), f"doc_id {read.schema['doc_id'].dataType.simpleString()}, key string, shingles binary")
+        wanted = chosen.select("fp", F.col("doc_id").alias("i"), F.col("key").alias("k"), "n_rows")
+        return single(found.join(wanted, own).select("fp", "shingles", "n_rows"))
 
-    links = similar_pairs(profiles, again, texts, close_pairs(best.select("fp")), shingle=shingle, similarity=similarity)
+    links = similar_pairs(profiles, again, shingled, close_pairs(best.select("fp")), shingle=shingle, similarity=similarity)
     roots = components(links)
     tied = durable(best.join(rooted(roots), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "key", "n_rows"), "tied", best, roots)
     kept = durable(tied.groupBy("root").agg(F.min_by(F.struct("doc_id", "key", "n_rows"), rank).alias("best")).select("best.*"), "kept", tied)

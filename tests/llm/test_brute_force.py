@@ -850,3 +850,55 @@ def test_training_sees_every_position(docs_of, prose, monkeypatch):
 
     batch = docs_of(texts).select("text").toArrow().to_batches()
     assert sum(b["weight"][0].as_py() for b in pseudo_likelihood._trainer(Shared)(iter(batch))) == sum(len(x.split()) for x in texts)
+
+
+def test_keep_one_compares_only_what_can_be_similar(docs_of, monkeypatch):
+    """Pairs of texts with a tenth of their words in common meet in their prefixes, but no set of them is fetched."""
+    r = random.Random(31)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts, near = [], words(200)
+    for _ in range(40):
+        part = words(20)
+        texts += [" ".join(words(90) + part + words(90)) for _ in range(2)]
+    texts += [" ".join(near), " ".join(near + ["more"])]
+    rows, real = {}, simhash.durable
+
+    def counted(df, label, *spent):
+        out = real(df, label, *spent)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "durable", counted)
+    assert _kept(docs_of(texts)) == set(range(81))
+    assert rows["meeting"][0] > 50 and rows["sets"] == [2]
+
+
+def test_keep_one_of_unlike_lengths(docs_of):
+    """Cut and edited copies around similarity 0.8 of texts of 6 to 150 words: what is joined is what brute force joins."""
+    r = random.Random(32)
+    texts = []
+    for n in (6, 8, 10, 14, 20, 30, 50, 80, 150):
+        for _ in range(12):
+            w = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            cut = w[: round(n * r.uniform(0.76, 1))] if r.random() < 0.5 else w[round(n * r.uniform(0, 0.24)) :]
+            if r.random() < 0.5:
+                cut[r.randrange(len(cut))] = f"x{r.randrange(10**9)}"
+            texts += [" ".join(x) for x in ((w, cut) if r.random() < 0.5 else (cut, w))]
+    sets = _shingle_sets(texts)
+    prints = [simhash.majority([simhash.distinct_shingles(t.encode(), 5)]) & (1 << 64) - 1 for t in texts]
+    joined = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) or (prints[i] ^ prints[i + 1]).bit_count() <= 2 for i in range(0, len(texts), 2)]
+    assert 20 < sum(joined) < len(joined) - 20
+    assert _kept(docs_of(texts)) == {i for i in range(len(texts)) if i % 2 == 0 or not joined[i // 2]}
+
+
+def test_among_finds_every_wanted_row(spark, odd):
+    """Null ids and repeated rows too; of 40,000 other rows about an eighth at most."""
+    from slantstack.llm.common import source_key
+
+    rows = odd.select("doc_id", source_key("text").alias("bits"))
+    more = spark.range(100, 50_100).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("bits"))
+    chosen = simhash.durable(rows.unionAll(more.where("doc_id < 10100")), "chosen")
+    got = [(r["doc_id"], r["bits"]) for r in simhash.among(rows.unionAll(more), chosen, ["doc_id", "bits"]).collect()]
+    want = [(r["doc_id"], r["bits"]) for r in chosen.collect()]
+    assert not Counter(want) - Counter(got) and len(got) - len(want) < 8000
+    assert simhash.among(rows, chosen.limit(0), ["doc_id", "bits"]).count() == 0
