@@ -173,10 +173,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, **cols) -> DataFrame:
 
 
 
+def held_in(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which hashes are in ``common`` (sorted): a search each. ``np.isin`` sorts all of ``common`` again at every call, and that grows with the input."""
+    return common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
+
+
 def prefix(distinct: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
     """The least shingle hashes of a set (sorted), those in ``common`` last: as many as a similar set must share one of."""
     if common is not None:
-        often = np.isin(distinct, common, assume_unique=True)
+        often = held_in(distinct, common)
         distinct = np.concatenate((distinct[~often], distinct[often]))
     return distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]
 
@@ -185,7 +190,7 @@ def place(keys: np.ndarray, common: np.ndarray | None = None) -> int:
     """Where a prefix ends in the order of all shingles: never falls along it."""
     if not len(keys):
         return 0
-    return int(keys[-1] >> np.uint64(2)) + (1 << 62 if common is not None and np.isin(keys[-1], common) else 0)
+    return int(keys[-1] >> np.uint64(2)) + (1 << 62 if common is not None and held_in(keys[-1:], common)[0] else 0)
 
 
 def possible(similarity: float):
@@ -244,7 +249,7 @@ def _reorderer(k: int, similarity: float, shared):
     def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 128):
             sets = [distinct_shingles(t, k) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            share = [float(np.isin(x, shared.value, assume_unique=True).mean()) if len(x) else 0.0 for x in sets]
+            share = [float(held_in(x, shared.value).mean()) if len(x) else 0.0 for x in sets]
             keys = [prefix(x, similarity, shared.value) for x in sets]
             columns = [b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), _signed(keys), pa.array([place(x, shared.value) for x in keys], pa.int64()), pa.array(share, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "keys", "end", "typical"])

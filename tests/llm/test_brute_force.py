@@ -2,6 +2,7 @@
 
 import difflib
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -902,3 +903,36 @@ def test_among_finds_every_wanted_row(spark, odd):
     want = [(r["doc_id"], r["bits"]) for r in chosen.collect()]
     assert not Counter(want) - Counter(got) and len(got) - len(want) < 8000
     assert simhash.among(rows, chosen.limit(0), ["doc_id", "bits"]).count() == 0
+
+
+def test_common_shingles_are_searched_not_sorted(docs_of):
+    """The work a text doesn't grow with the number of common shingles, and what is found is what a set finds."""
+    import time
+
+    import numpy as np
+
+    r = random.Random(33)
+    texts = [" ".join(f"w{r.randrange(200)}" for _ in range(r.randrange(200))) for _ in range(100)]
+    batch = docs_of(texts).select("doc_id", F.lit("k").alias("key"), "text").toArrow().to_batches()
+    sets = [simhash.distinct_shingles(t.encode(), 5) for t in texts]
+    often = np.concatenate([x[::3] for x in sets])
+
+    def reordered(n):
+        class Shared:
+            value = np.unique(np.concatenate((often, np.random.default_rng(1).integers(0, 1 << 63, n, dtype=np.uint64))))
+
+        began = time.process_time()
+        out = [row for b in simhash._reorderer(5, 0.8, Shared)(iter(batch)) for row in b.to_pylist()]
+        return out, time.process_time() - began, set(Shared.value.tolist())
+
+    for n in (0, 1_000_000):
+        got, took, common = reordered(n)
+        for row, x in zip(got, sets, strict=True):
+            x = x.tolist()
+            order = sorted(x, key=lambda h: (h in common, h))
+            keys = order[: len(x) - math.ceil(0.8 * len(x) - 1e-9) + 1]
+            assert [k & (1 << 64) - 1 for k in row["keys"]] == keys
+            assert row["end"] == ((keys[-1] >> 2) + (keys[-1] in common) * (1 << 62) if keys else 0)
+            assert math.isclose(row["typical"], sum(h in common for h in x) / max(1, len(x)))
+    assert took < 5
+    assert not simhash.held_in(sets[1], often[:0]).any()
