@@ -24,6 +24,8 @@ bytes. Empty table: empty result. Other columns are kept as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -123,11 +125,12 @@ def split_words(data: np.ndarray, bounds: np.ndarray) -> Words:
         none = np.zeros(0, np.int64)
         return Words(none, none, none.astype(np.uint64), none, none.astype(bool), none.astype(bool))
     begin, end, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-    text = np.searchsorted(bounds, begin, "right") - 1
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(begin, bounds)))
     feeds = np.flatnonzero(data[int(bounds[0]) : last] == 10) + int(bounds[0])
-    upto = np.searchsorted(feeds, end)
     ends_line = np.ones(len(begin), bool)
-    ends_line[:-1] = (np.searchsorted(feeds, begin[1:]) > upto[:-1]) | (text[1:] != text[:-1])
+    ends_line[:-1] = text[1:] != text[:-1]
+    before = np.searchsorted(end, feeds, "right") - 1
+    ends_line[before[before >= 0]] = True
     return Words(begin, end, h, text, ends_line, _MARK[data[end - 1]])
 
 
@@ -199,6 +202,13 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+def _lists(column: pa.Array) -> Iterator[list[tuple]]:
+    """The structs of each list as tuples: a Python list a field, no dict a struct."""
+    rows = zip(*(f.to_pylist() for f in column.flatten().flatten()), strict=True)
+    for n in column.value_lengths().to_pylist():
+        yield list(islice(rows, n or 0))
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         if not b.num_rows:
@@ -242,11 +252,11 @@ def _span_rows(id_type: pa.DataType):
     def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             by: dict[tuple, list] = {}
-            for doc_id, rk, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                names = {(f["first_id"], f["first_rk"]): None for f in found}
-                number = {name: i for i, name in enumerate(names)}
-                name = list(names)
-                for i, begin, end, here in spans([(number[f["first_id"], f["first_rk"]], f["first_at"], f["at"]) for f in found]):
+            for doc_id, rk, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _lists(b.column(2)), strict=True):
+                number: dict[tuple, int] = {}
+                places = [(number.setdefault((first_id, first_rk), len(number)), there, here) for first_id, first_rk, there, here in found]
+                name = list(number)
+                for i, begin, end, here in spans(places):
                     by.setdefault(name[i], []).append({"from": begin, "to": end, "doc_id": doc_id, "rk": rk, "at": here, "own": name[i] == (doc_id, rk)})
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], id_type), pa.array([k[1] for k in by], pa.int64()), pa.array(list(by.values()), wanted)], names=["first_id", "first_rk", "wanted"])
 
@@ -262,11 +272,11 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in sliced(batches, 64):
         kinds = (b.column(1).type.value_type.field("doc_id").type, pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        for packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for packed, wanted in zip(b.column(0).to_pylist(), _lists(b.column(1)), strict=True):
             words = unpack(packed).split()
-            for s in wanted:
-                body = b" ".join(words[s["from"] : s["to"]])
-                out.append((s["doc_id"], s["rk"], s["at"], s["own"], body))
+            for begin, end, doc_id, rk, at, own in wanted:
+                body = b" ".join(words[begin:end])
+                out.append((doc_id, rk, at, own, body))
                 size += len(body) + 64
                 if size > BLOCK:
                     yield batch()
@@ -276,23 +286,23 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def removed_lines(words: list[bytes], ends_line: np.ndarray, begins: np.ndarray, matches: list[dict], min_words: int) -> tuple[np.ndarray, int]:
+def removed_lines(words: list[bytes], ends_line: np.ndarray, begins: np.ndarray, matches: list[tuple], min_words: int) -> tuple[np.ndarray, int]:
     """Which lines (they begin at the words ``begins``) go, and how many of their words stand first in another text.
 
     matches: at, own, body of the first places of the text's spans.
     """
     same, elsewhere = np.zeros(len(words), bool), np.zeros(len(words), bool)
-    for m in matches:
-        x = m["at"]
-        there = m["body"].split()
+    for x, own, body in matches:
+        there = body.split()
         here = words[x : x + len(there)]
-        equal = np.fromiter((p == q for p, q in zip(here, there, strict=False)), bool, len(here))
+        equal = np.fromiter(map(eq, here, there), bool, len(here))
         same[x : x + len(here)] |= equal
-        if not m["own"]:
+        if not own:
             elsewhere[x : x + len(here)] |= equal
     gone, ends = np.zeros(len(begins), bool), np.append(begins[1:], len(words))
-    for x, y in np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0])))).reshape(-1, 2):
-        if y - x >= min_words and (y - x >= LONE or ends_line[x : y - 1].any()):
+    runs = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0])))).reshape(-1, 2)
+    for x, y in runs[runs[:, 1] - runs[:, 0] >= min_words].tolist():
+        if y - x >= LONE or ends_line[x : y - 1].any():
             gone[np.searchsorted(begins, x) : np.searchsorted(ends, y, "right")] = True
     return gone, int(elsewhere[np.repeat(gone, ends - begins)].sum())
 
@@ -302,7 +312,7 @@ def _rebuild(min_words: int):
         unpack = zstandard.ZstdDecompressor().decompress
         for b in sliced(batches):
             texts = [None if p is None else unpack(p) for p in b.column(b.num_columns - 2).to_pylist()]
-            counts, cut, copied, matches = [0] * len(texts), [False] * len(texts), [0.0] * len(texts), b.column(b.num_columns - 1).to_pylist()
+            counts, cut, copied, matches = [0] * len(texts), [False] * len(texts), [0.0] * len(texts), list(_lists(b.column(b.num_columns - 1)))
             some = [i for i, m in enumerate(matches) if m]
             bounds = np.cumsum([0, *(len(texts[i]) for i in some)])
             w = split_words(np.frombuffer(b"".join(texts[i] for i in some), np.uint8), bounds)
@@ -320,7 +330,7 @@ def _rebuild(min_words: int):
                     kept = np.append(at, len(text))[np.flatnonzero(np.diff(np.concatenate(([1], gone.astype(np.int8), [1]))))]
                     texts[i] = b"".join(text[p:q] for p, q in kept.reshape(-1, 2).tolist())
                     cut[i] = not texts[i].strip()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([None if t is None else t.decode() for t in texts], pa.string()), pa.array(counts, pa.int64()), pa.array(cut, pa.bool_()), pa.array(copied, pa.float64())], names=[*b.schema.names[:-2], "new_text", "n_removed", "emptied", "copied"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(cut, pa.bool_()), pa.array(copied, pa.float64())], names=[*b.schema.names[:-2], "new_text", "n_removed", "emptied", "copied"])
 
     return rebuild
 

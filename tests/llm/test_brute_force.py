@@ -936,3 +936,28 @@ def test_common_shingles_are_searched_not_sorted(docs_of):
             assert math.isclose(row["typical"], sum(h in common for h in x) / max(1, len(x)))
     assert took < 5
     assert not simhash.held_in(sets[1], often[:0]).any()
+
+
+def test_lists_of_structs_as_tuples():
+    """Null and empty lists, null fields and slices: what to_pylist gives, without a dict for each struct."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("own", pa.bool_()), ("body", pa.binary())]))
+    rows = [None if k % 5 == 1 else [{"at": None if j == 2 else k * 10 + j, "own": j % 2 == 0, "body": b"x" * j} for j in range(k % 4)] for k in range(40)]
+    whole = pa.array(rows, kind)
+    for a, n in ((0, 40), (3, 20), (39, 1), (7, 0)):
+        assert list(line_dedup._lists(whole.slice(a, n))) == [[tuple(x.values()) for x in r or []] for r in rows[a : a + n]]
+
+
+def test_words_know_their_text_and_line_ends():
+    """Empty texts, line ends first, last, doubled and between blanks, against Python's split."""
+    r = random.Random(34)
+    texts = [b"", b"\n", b" \n a", b"a\n\n b \n c\n", b"", b"a b", b""] + ["".join(r.choice("ab \n\t") for _ in range(r.randrange(30))).encode() for _ in range(300)] + [b""]
+    w = line_dedup.split_words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    want = []
+    for k, t in enumerate(texts):
+        for line in t.split(b"\n"):
+            words = line.split()
+            want += [[k, word, i == len(words) - 1] for i, word in enumerate(words)]
+    data = b"".join(texts)
+    assert [[k, data[a:b], e] for k, a, b, e in zip(w.text.tolist(), w.begin.tolist(), w.end.tolist(), w.ends_line.tolist(), strict=True)] == want
