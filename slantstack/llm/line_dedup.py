@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import durable, sliced, small_batches
+from .simhash import among
 
 CUT, LINES, WINDOW, LONE = 3, 4, 12, 40
 #: Words on either side of a span's chunks: what is the same further off has a chunk of its own.
@@ -286,8 +287,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def removed_lines(words: list[bytes], ends_line: np.ndarray, begins: np.ndarray, matches: list[tuple], min_words: int) -> tuple[np.ndarray, int]:
-    """Which lines (they begin at the words ``begins``) go, and how many of their words stand first in another text.
+def same_runs(words: list[bytes], matches: list[tuple], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (from, to) of ``min_words`` or more words that stand in first places too, and which words stand first in another text.
 
     matches: at, own, body of the first places of the text's spans.
     """
@@ -299,9 +300,14 @@ def removed_lines(words: list[bytes], ends_line: np.ndarray, begins: np.ndarray,
         same[x : x + len(here)] |= equal
         if not own:
             elsewhere[x : x + len(here)] |= equal
-    gone, ends = np.zeros(len(begins), bool), np.append(begins[1:], len(words))
     runs = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0])))).reshape(-1, 2)
-    for x, y in runs[runs[:, 1] - runs[:, 0] >= min_words].tolist():
+    return runs[runs[:, 1] - runs[:, 0] >= min_words], elsewhere
+
+
+def removed_lines(runs: np.ndarray, elsewhere: np.ndarray, ends_line: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which lines (they begin at the words ``begins``) go, and how many of their words stand first in another text."""
+    gone, ends = np.zeros(len(begins), bool), np.append(begins[1:], len(elsewhere))
+    for x, y in runs.tolist():
         if y - x >= LONE or ends_line[x : y - 1].any():
             gone[np.searchsorted(begins, x) : np.searchsorted(ends, y, "right")] = True
     return gone, int(elsewhere[np.repeat(gone, ends - begins)].sum())
@@ -313,7 +319,9 @@ def _rebuild(min_words: int):
         for b in sliced(batches):
             texts = [None if p is None else unpack(p) for p in b.column(b.num_columns - 2).to_pylist()]
             counts, cut, copied, matches = [0] * len(texts), [False] * len(texts), [0.0] * len(texts), list(_lists(b.column(b.num_columns - 1)))
-            some = [i for i, m in enumerate(matches) if m]
+            runs = {i: same_runs(texts[i].split(), m, min_words) for i, m in enumerate(matches) if m}
+            # Without a run that is long enough nothing goes, whatever the lines are.
+            some = [i for i, (found, _) in runs.items() if len(found)]
             bounds = np.cumsum([0, *(len(texts[i]) for i in some)])
             w = split_words(np.frombuffer(b"".join(texts[i] for i in some), np.uint8), bounds)
             all_begins = line_begins(w)
@@ -321,7 +329,7 @@ def _rebuild(min_words: int):
                 x, y = np.searchsorted(w.text, (k, k + 1))
                 begins = all_begins[np.searchsorted(all_begins, x) : np.searchsorted(all_begins, y)]
                 text = texts[i]
-                gone, elsewhere = removed_lines(text.split(), w.ends_line[x:y], begins - x, matches[i], min_words)
+                gone, elsewhere = removed_lines(*runs[i], w.ends_line[x:y], begins - x)
                 copied[i] = elsewhere / max(1, int(y - x))
                 counts[i] = int(gone.sum())
                 if counts[i]:
@@ -351,13 +359,16 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 25, id_col: str = "doc_id",
     again = places.join(first, "h").where(~here).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("first_id", "first_rk", "first_at", "at")).alias("found"))
     listed = f"first_id {kind}, first_rk long, wanted array<struct<`from`: long, to: long, doc_id: {kind}, rk: long, at: long, own: boolean>>"
     wanted = durable(again.mapInArrow(_span_rows(to_arrow_type(read.schema["doc_id"].dataType)), listed), "spans", places, first)
-    packed = lambda *more: docs.select(F.col(id_col).alias("doc_id"), rk, *more, F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, _schema(docs, id_col, more) + "packed binary")
-    met = packed().join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk"))).select("packed", "wanted")
+    packed = lambda rows, *more: rows.mapInArrow(_pack, _schema(docs, id_col, more) + "packed binary")
+    # Texts that hold no first place aren't packed nor shuffled here.
+    source = among(docs.select(F.col(id_col).alias("doc_id"), rk, F.col(text_col).cast("string").alias("text")), wanted.select(F.col("first_id").alias("doc_id"), F.col("first_rk").alias("rk")), ["doc_id", "rk"])
+    met = packed(source).join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk"))).select("packed", "wanted")
     bodies = durable(met.mapInArrow(_fetch, f"doc_id {kind}, rk long, at long, own boolean, body binary"), "bodies", wanted)
     found = bodies.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("at", "own", "body")).alias("matches")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
     names = [f"o{i}" for i in range(len(others))]
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("hash"))
-    joined = packed(*(F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True))).join(found, same, "left").select("doc_id", *names, "packed", "matches")
+    more = [F.col(f"`{c}`").alias(n) for c, n in zip(others, names, strict=True)]
+    joined = packed(docs.select(F.col(id_col).alias("doc_id"), rk, *more, F.col(text_col).cast("string").alias("text")), *more).join(found, same, "left").select("doc_id", *names, "packed", "matches")
     fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(others, names, strict=True))
     out = joined.mapInArrow(_rebuild(min_words), f"doc_id {kind}, {fields}new_text string, n_removed long, emptied boolean, copied double")
     return out.select("doc_id", *(F.col(n).alias(c) for c, n in zip(others, names, strict=True)), "new_text", "n_removed", "emptied", "copied")

@@ -961,3 +961,22 @@ def test_words_know_their_text_and_line_ends():
             want += [[k, word, i == len(words) - 1] for i, word in enumerate(words)]
     data = b"".join(texts)
     assert [[k, data[a:b], e] for k, a, b, e in zip(w.text.tolist(), w.begin.tolist(), w.end.tolist(), w.ends_line.tolist(), strict=True)] == want
+
+
+def test_only_texts_with_a_first_place_are_fetched(docs_of, monkeypatch, tmp_path):
+    """Of 102 texts two share a passage: all are packed to be rebuilt, and few more to be compared with."""
+    r = random.Random(35)
+    words = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    passage, pack, seen = words(40) + ".\n" + words(40), line_dedup._pack, str(tmp_path / "seen")
+
+    def counted(batches):
+        for b in batches:
+            with open(seen, "a") as f:
+                f.write("x" * b.num_rows)
+            yield from pack(iter([b]))
+
+    monkeypatch.setattr(line_dedup, "_pack", counted)
+    got = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(docs_of([f"{words(50)} {passage}", f"{passage} {words(50)}", *(words(90) for _ in range(100))])).collect()}
+    assert got[0] == 0 and got[1] > 5 and not sum(got[k] for k in range(2, 102))
+    with open(seen) as f:
+        assert 103 <= len(f.read()) < 140
