@@ -14,7 +14,7 @@ are removed. So a lone common line stays, and a removed word always has its equa
 
 Shuffles: a row a chunk (hash, id, place), counted with partial sums; the compressed texts twice, to fetch spans and to
 rebuild. Rows of a hot chunk are joined to a single row of it; spans of a hot first document meet a single text.
-Every intermediate table is deleted once the next is written.
+Every intermediate table is deleted once the next is written; the last, of spans, when the application ends.
 
 Defined results. Null text stays null. Blank texts are kept. Rows equal in id and text are one document: each keeps what
 the other keeps. Null ids count as the least id. Very long texts are read whole, their words hashed in blocks of ``BLOCK``
@@ -353,17 +353,19 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 25, id_col: str = "doc_id",
     rows = durable(read.mapInArrow(_chunk_rows, f"h long, doc_id {kind}, rk long, at long"), "chunks")
     repeated = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
     places = durable(rows.join(repeated, "h", "left_semi"), "places", rows, repeated)
-    first = durable(places.groupBy("h").agg(F.min(F.struct("doc_id", "rk", "at")).alias("first")).select("h", F.col("first.doc_id").alias("first_id"), F.col("first.rk").alias("first_rk"), F.col("first.at").alias("first_at")), "first")
-    # One row a chunk on the right: rows of a hot chunk can be split.
+    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "rk", "at")).alias("first")).select("h", F.col("first.doc_id").alias("first_id"), F.col("first.rk").alias("first_rk"), F.col("first.at").alias("first_at"))
+    # One row a chunk on the right: rows of a hot chunk can be split, as a second key gives sums by the first an exchange of their own.
+    top = F.shiftright("h", 32).alias("top")
     here = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk")) & (F.col("at") == F.col("first_at"))
-    again = places.join(first, "h").where(~here).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("first_id", "first_rk", "first_at", "at")).alias("found"))
+    again = places.select("*", top).join(first.select("*", top), ["h", "top"]).where(~here).groupBy("doc_id", "rk").agg(F.collect_list(F.struct("first_id", "first_rk", "first_at", "at")).alias("found"))
     listed = f"first_id {kind}, first_rk long, wanted array<struct<`from`: long, to: long, doc_id: {kind}, rk: long, at: long, own: boolean>>"
-    wanted = durable(again.mapInArrow(_span_rows(to_arrow_type(read.schema["doc_id"].dataType)), listed), "spans", places, first)
+    wanted = durable(again.mapInArrow(_span_rows(to_arrow_type(read.schema["doc_id"].dataType)), listed), "spans", places)
     packed = lambda rows, *more: rows.mapInArrow(_pack, _schema(docs, id_col, more) + "packed binary")
     # Texts that hold no first place aren't packed nor shuffled here.
     source = among(docs.select(F.col(id_col).alias("doc_id"), rk, F.col(text_col).cast("string").alias("text")), wanted.select(F.col("first_id").alias("doc_id"), F.col("first_rk").alias("rk")), ["doc_id", "rk"])
     met = packed(source).join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("rk") == F.col("first_rk"))).select("packed", "wanted")
-    bodies = durable(met.mapInArrow(_fetch, f"doc_id {kind}, rk long, at long, own boolean, body binary"), "bodies", wanted)
+    # No table of their own: for each file of a local folder Hadoop starts three processes (chmod) from the executor's JVM.
+    bodies = met.mapInArrow(_fetch, f"doc_id {kind}, rk long, at long, own boolean, body binary")
     found = bodies.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("at", "own", "body")).alias("matches")).withColumnRenamed("doc_id", "id").withColumnRenamed("rk", "hash")
     names = [f"o{i}" for i in range(len(others))]
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("hash"))

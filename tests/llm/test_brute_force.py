@@ -980,3 +980,25 @@ def test_only_texts_with_a_first_place_are_fetched(docs_of, monkeypatch, tmp_pat
     assert got[0] == 0 and got[1] > 5 and not sum(got[k] for k in range(2, 102))
     with open(seen) as f:
         assert 103 <= len(f.read()) < 140
+
+
+def test_line_dedup_writes_few_tables(docs_of, monkeypatch):
+    """First places and fetched words have no table; rows of a hot chunk can still be split, as both sides of their join have an exchange of their own."""
+    r = random.Random(36)
+    words = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    passage, durable, written = words(40) + ".\n" + words(40), line_dedup.durable, {}
+
+    def counted(df, label, *spent):
+        written[label] = df._jdf.queryExecution().executedPlan().toString()
+        return durable(df, label, *spent)
+
+    monkeypatch.setattr(line_dedup, "durable", counted)
+    docs = docs_of([f"{words(50)} {passage}", f"{passage} {words(50)}", *(words(90) for _ in range(20))])
+    docs.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(docs).collect()}
+    finally:
+        docs.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == 0 and got[1] > 5 and not sum(got[k] for k in range(2, 22))
+    assert list(written) == ["chunks", "repeated", "places", "spans"]
+    assert len(re.findall(r"Exchange hashpartitioning\(h#\d+L?, top#\d+L?,.*ENSURE_REQUIREMENTS", written["spans"])) == 2
